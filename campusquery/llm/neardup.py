@@ -3,11 +3,13 @@
 1. Texts with equal word sequences form a class; its smallest id stands for it.
 2. A representative has 128 minhashes of its word shingles, in 32 bands of 4. Two with a Jaccard similarity
    of 0.75 share no band with a probability of 5e-6.
-3. Each bucket's members are compared with its smallest id. Signatures are read in batches of 16 hashes; a
-   pair goes once the posterior probability of the wanted similarity falls to the chosen miss probability.
-   Survivors are confirmed on the full shingle sets, and links are joined to components.
-4. Buckets that still hold several components are compared block by block, between components only, so
-   that no link is lost that step 3 didn't need. No pair is emitted but survivors of the signatures.
+3. Each bucket's members are compared with its smallest id. Signatures (a byte of each minhash) are read in
+   batches of 16; a pair goes once the posterior probability of the wanted similarity falls to the chosen miss
+   probability. Survivors are confirmed on the full shingle sets, and links are joined to components.
+4. What step 3 leaves apart is compared without emitting the pairs of a group. In buckets that still hold
+   several components, blocks of 256 are compared by signatures, and each pair of blocks gives a spanning
+   forest of what survives. These forests make clusters; again in pairs of blocks, of 256, the members of a
+   cluster are compared on their full sets, and each pair of blocks gives the links that join components.
 """
 
 from __future__ import annotations
@@ -27,21 +29,22 @@ from .common import Work, table
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
 HASHES = BANDS * ROWS
-MISS = 1e-7
+MISS = 1e-5
 BLOCK = 256
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: The white space that parts words; str.split would also part at other code points.
 TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+#: Bits of the map by which texts are read again: as many whatever the input, 2 MB.
+MAP_BITS = 24
 P64 = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds too many."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
@@ -50,7 +53,7 @@ WORDS = WordHashes()
 
 def words(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words of the whole text."""
-    found = [w for w in (text or "").translate(UPPER).translate(TO_SPACE).split(" ") if w]
+    found = [w.encode("utf-8", "surrogatepass") for w in (text or "").translate(UPPER).translate(TO_SPACE).split(" ") if w]
     return np.fromiter(map(WORDS.__getitem__, found), np.uint64, len(found))
 
 
@@ -69,22 +72,30 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def multipliers() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(75)
-    return r.integers(1, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, HASHES, np.uint64)
+def multipliers() -> np.ndarray:
+    return np.random.default_rng(75).integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """128 minhashes (upper halves of multiply-shift hashes) of shingle hashes; a long text goes in slices."""
-    a, b = multipliers()
+    """128 minhashes of shingle hashes: half of their odd multiples modulo 2^32 are of the lower, half of the upper 32 bits."""
+    a, half = multipliers(), HASHES // 2
     best = np.full(HASHES, 2**32 - 1, np.uint32)
-    for k in range(0, len(own), 2048):
-        part = own[k : k + 2048]
-        h = (part[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)
-        best = np.minimum(best, h.min(1).astype(np.uint32))
+    lower, upper = own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(own), 4096):  # a long text goes in slices
+        for at, part in ((slice(0, half), lower), (slice(half, HASHES), upper)):
+            np.minimum(best[at], (part[k : k + 4096][None, :] * a[at, None]).min(1), out=best[at])
     return best
 
 
+def band_keys(minhashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band and its four minhashes."""
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in minhashes.reshape(BANDS, ROWS).astype(np.uint64).T:
+        h = (h ^ (h >> np.uint64(29))) * P64 + column
+    h ^= h >> np.uint64(32)
+    return (h * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
 @lru_cache(4)
 def least_matches(similarity: float, miss: float) -> tuple[int, ...]:
     """Matches that n = 16, 32, ... compared hashes need, lest P(similarity >= wanted) <= miss, from a uniform prior.
@@ -103,7 +114,7 @@ def least_matches(similarity: float, miss: float) -> tuple[int, ...]:
 
 
 def likely(a: np.ndarray, b: np.ndarray, need: tuple[int, ...]) -> np.ndarray:
-    """Which rows of signatures a, b (pairs, 128) survive every batch; a pruned pair is compared no further."""
+    """Which rows of signatures a, b (pairs, 128 bytes) survive every batch; a pruned pair is compared no further."""
     alive, same = np.arange(len(a)), np.zeros(len(a), np.int32)
     for k, least in enumerate(need):
         at = slice(k * BATCH, (k + 1) * BATCH)
@@ -114,34 +125,29 @@ def likely(a: np.ndarray, b: np.ndarray, need: tuple[int, ...]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, content, sig): the content key of the word sequence, null without words."""
+    """(doc_id, n_shingles, content, sig, keys): the content key of the word sequence, signature and band keys; null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, keys, sigs = [], [], []
+            counts, contents, sigs, keys = [], [], [], []
             for text in b.column(1):
                 w = words(text.as_py())
                 s = shingles(w)
+                m = signature(s) if len(w) else None
                 counts.append(len(s))
-                keys.append(xxhash.xxh128_digest(w.tobytes()) if len(w) else None)
-                sigs.append(signature(s).tobytes() if len(w) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "content", "sig"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, content binary, sig binary")
-
+                contents.append(None if m is None else xxhash.xxh128_digest(w.tobytes()))
+                sigs.append(None if m is None else m.astype(np.uint8).tobytes())
+                keys.append(None if m is None else band_keys(m))
+            cols = [b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(contents, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "content", "sig", "keys"])
 
-def classes(work: Work, rows: DataFrame) -> DataFrame:
-    """(content, rep, n, sig) of each content key: its smallest id and the number of rows. Combines before the shuffle."""
-    return rows.filter("content is not null and doc_id is not null").groupBy("content").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")
-    )
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, content binary, sig binary, keys array<long>")
 
 
-def bands(reps: DataFrame) -> DataFrame:
-    """(bucket, id) of each band of each representative; the bucket hashes the band and its four minhashes."""
-    size = 4 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * size + 1, F.lit(size))))
-    return reps.select(F.col("rep").alias("id"), F.explode(keys).alias("bucket"))
+def classes(rows: DataFrame) -> DataFrame:
+    """(content, rep, n, sig, keys) of each content key: its smallest id and the number of rows. Combines before the shuffle."""
+    known = rows.filter("content is not null and doc_id is not null")
+    return known.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
 
 
 def attach(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -156,21 +162,37 @@ def prune(pairs: DataFrame, reps: DataFrame, need: tuple[int, ...]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            sig = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b")]
+            sig = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b")]
             yield x.select(["a", "b"]).take(pa.array(likely(*sig, need)))
 
     both = attach(pairs, reps.select(F.col("rep").alias("id"), "sig"), "sig")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirm(work: Work, pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union; only texts of ``pairs`` are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(work: Work, docs: DataFrame, ids: DataFrame, repeated: bool, name: str) -> DataFrame:
+    """(id, own) of the documents of ``ids`` (id) and a few others: the sorted shingle hashes of the whole text.
+
+    Texts are not shuffled. A bit map of hashed ids goes to all readers; its size is fixed, so that with very
+    many ids it lets more others through, which the joins that follow drop. Where ids repeat, the least set counts.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), spot(c).bitwiseAND(63).cast("int"))
+    bits = ids.groupBy(F.shiftright(spot("id"), 6).alias("_word")).agg(F.bit_or(bit("id")).alias("_bits"))
+    bits = work.save(bits, f"{name}_map")
+    some = docs.select("doc_id", "text").join(F.broadcast(bits), F.shiftright(spot("doc_id"), 6) == F.col("_word"))
+    some = some.filter(F.col("_bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0).cast(pa.int64()), pa.array([shingles(words(t.as_py())).tobytes() for t in x.column(1)], pa.binary())], ["id", "own"])
 
+    own = some.mapInArrow(sets, "id long, own binary")
+    return work.save(own.groupBy("id").agg(F.min("own").alias("own")) if repeated else own, f"{name}_sets")
+
+
+def confirm(work: Work, pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []
@@ -183,11 +205,10 @@ def confirm(work: Work, pairs: DataFrame, docs: DataFrame, percent: int, name: s
                     keep.append(k)
             yield x.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, own binary")
-    # An id that several texts share is compared by each of them, and so belongs to all their classes.
-    own = work.save(own.dropDuplicates(["id", "own"]), f"{name}_sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    own = full_sets(work, docs, ids, repeated, "star")
     out = attach(pairs, own, "own").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long")
-    return work.save(out.distinct(), f"{name}_links")
+    return work.save(out, "star_links")
 
 
 def components(work: Work, links: DataFrame, name: str) -> DataFrame:
@@ -220,49 +241,132 @@ def components(work: Work, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def block_survivors(work: Work, members: DataFrame, reps: DataFrame, need: tuple[int, ...]) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that the signatures don't rule out.
+def forest(a: np.ndarray, b: np.ndarray, names: np.ndarray) -> list[int]:
+    """Which of the pairs (a, b) of places suffice to join all the names that the pairs join."""
+    root: dict = {}
+
+    def find(x):
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for k, (i, j) in enumerate(zip(names[a].tolist(), names[b].tolist(), strict=True)):
+        i, j = find(i), find(j)
+        if i != j:
+            root[i] = j
+            out.append(k)
+    return out
+
 
-    ``members``: (bucket, id, comp, n), n the bucket's size. A bucket is cut into blocks of about 256; a group
-    is a pair of blocks, so a task holds 512 signatures however large the bucket is.
+def in_blocks(members: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``members`` (id, n: the size of the group, ...) once for each pair of blocks (lo, hi) that its block is in.
+
+    A block holds about ``size`` members, so that a task holds twice as many, however large the group is.
     """
-    n_blocks = F.ceil(F.col("n") / BLOCK)
-    cut = members.withColumn("own", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("blocks", n_blocks.cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("bucket", "id", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    full = cut.join(reps.select(F.col("rep").alias("id"), "sig"), "id")
-    # Many small groups share a call: grouping is by a hash of the block pair, and the call parts them again.
-    groups = full.withColumn("_g", F.xxhash64("bucket", "lo", "hi")).repartition("_g").sortWithinPartitions("_g", "bucket", "lo", "hi")
-
-    def pairs(g: pd.DataFrame) -> list[tuple[int, int]]:
-        sig = np.frombuffer(b"".join(g.sig), np.uint32).reshape(-1, HASHES)
-        ids, comp, own = g.id.to_numpy(), g.comp.to_numpy(), g.own.to_numpy()
-        lo, hi = int(g.lo.iloc[0]), int(g.hi.iloc[0])
-        out = []
-        for k in range(len(g)):
-            if own[k] != lo:
-                continue
-            rest = np.flatnonzero((own == hi) & (comp != comp[k]) & (ids > ids[k] if lo == hi else True))
-            got = rest[likely(np.broadcast_to(sig[k], (len(rest), HASHES)), sig[rest], need)] if len(rest) else rest
-            out += [(min(ids[k], ids[j]), max(ids[k], ids[j])) for j in got]
-        return out
+    n_blocks = F.ceil(F.col("n") / size).cast("int")
+    cut = members.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    return cut.select("*", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi")).drop("_other", "n")
+
+
+def over_blocks(rows: DataFrame, group: str, pairs) -> DataFrame:
+    """(a, b) that ``pairs`` finds in each pair of blocks; groups stream by, sorted, so that small ones share a call."""
+    key = [group, "lo", "hi"]
+    rows = rows.repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for b in batches:
-            key = b[["bucket", "lo", "hi"]].to_numpy()
-            edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            found: list[tuple[int, int]] = []
-            for part in (b.iloc[i:j] for i, j in zip([0, *edge], [*edge, len(b)], strict=True)):
-                if held and tuple(held[0][["bucket", "lo", "hi"]].iloc[0]) != tuple(part[["bucket", "lo", "hi"]].iloc[0]):
-                    found += pairs(pd.concat(held))
+            found = []
+            at = b[key].to_numpy()
+            edge = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1), len(b)]
+            for i, j in zip(edge, edge[1:], strict=False):
+                if held and (held[0][key].iloc[0].to_numpy() != at[i]).any():
+                    found.append(pairs(pd.concat(held)))
                     held = []
-                held.append(part)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                held.append(b.iloc[i:j])
+            yield pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="int64"), *found])
         if held:
-            yield pd.DataFrame(pairs(pd.concat(held)), columns=["a", "b"], dtype="int64")
-
-    return groups.select("bucket", "lo", "hi", "id", "comp", "own", "sig").mapInPandas(run, "a long, b long").distinct()
+            yield pairs(pd.concat(held))
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def compared(g: pd.DataFrame, need: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs between the two blocks of ``g`` (one, if they are the same) that differ in component and survive the signatures."""
+    sig = np.frombuffer(b"".join(g.sig), np.uint8).reshape(-1, HASHES)
+    ids, comp, block = g.id.to_numpy(), g.comp.to_numpy(), g.block.to_numpy()
+    lo, hi = g.lo.iloc[0], g.hi.iloc[0]
+    left, right, found = np.flatnonzero(block == lo), np.flatnonzero(block == hi), [np.empty((2, 0), np.int64)]
+    for i in left:
+        rest = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo != hi))]
+        if len(rest):
+            got = rest[likely(np.broadcast_to(sig[i], (len(rest), HASHES)), sig[rest], need)]
+            found.append(np.stack([np.full(len(got), i), got]))
+    i, j = np.concatenate(found, 1)
+    return i, j
+
+
+def as_pairs(g: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    a, b = g.id.to_numpy()[i], g.id.to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def clusters(work: Work, members: DataFrame, reps: DataFrame, need: tuple[int, ...]) -> DataFrame | None:
+    """(id, cluster): ids that a survivor joins, over different components, are in one cluster. None: no survivor."""
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = compared(g, need)
+        keep = forest(i, j, g.id.to_numpy())
+        return as_pairs(g, i[keep], j[keep])
+
+    full = in_blocks(members).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    edges = work.save(over_blocks(full, "bucket", pairs).distinct(), "near")
+    if not edges.limit(1).count():
+        return None
+    return components(work, edges, "near").withColumnRenamed("comp", "cluster")
+
+
+def cluster_links(work: Work, near: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, need: tuple[int, ...], percent: int, repeated: bool) -> DataFrame:
+    """Links (a, b) that join components in each cluster, confirmed on full sets."""
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = compared(g, need)
+        if len(i):
+            used = np.unique(np.concatenate([i, j]))
+            place = np.full(len(g), -1)
+            place[used] = np.arange(len(used))
+            common, size = intersections([np.frombuffer(x, np.uint64) for x in g.own.iloc[used]])
+            k = common[place[i], place[j]]
+            ok = 100 * k >= percent * (size[place[i]] + size[place[j]] - k)
+            i, j = i[ok], j[ok]
+        keep = forest(i, j, g.comp.to_numpy())
+        return as_pairs(g, i[keep], j[keep])
+
+    sizes = near.groupBy("cluster").agg(F.count("*").alias("n"))
+    own = full_sets(work, docs, near.select("id"), repeated, "near")
+    full = near.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(sizes, "cluster")
+    full = in_blocks(full).join(reps.select(F.col("rep").alias("id"), "sig"), "id").join(own, "id")
+    return work.save(over_blocks(full, "cluster", pairs), "near_links")
+
+
+def intersections(sets: list[np.ndarray], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all intersections of ``sets``, and of the sets, by products of 0/1 matrices, some columns at a time."""
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[col] > 1  # what one set alone has is in no intersection
+    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact: counts stay below 2^24
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for k in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+        i, j = np.searchsorted(col, (k, k + columns))
+        x = np.zeros((len(sets), columns), np.float32)
+        x[row[i:j], col[i:j] - k] = 1
+        out += x @ x.T
+    return out.astype(np.int64), size
 
 
 def near_duplicates(work: Work, docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
@@ -273,23 +377,22 @@ def near_duplicates(work: Work, docs: DataFrame, percent: int = 75, miss: float
     """
     need = least_matches(percent / 100, miss)
     rows = work.save(sketches(docs), "sketches")
-    reps = work.save(classes(work, rows), "classes")
-    placed = work.save(bands(reps), "bands")
+    repeated = bool(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
+    reps = work.save(classes(rows), "classes")
+    placed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("bucket"))
     size = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    size = work.save(size, "buckets")
-    members = work.save(placed.join(size, "bucket"), "members")
-    work.drop("bands")
-    star = work.save(members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    links = confirm(work, work.save(prune(star, reps, need), "star_pairs"), docs, percent, "star")
+    members = work.save(placed.join(work.save(size, "buckets"), "bucket"), "members")
+    star = members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    star = work.save(prune(work.save(star, "star"), reps, need), "star_pairs")
+    links = confirm(work, star, docs, percent, repeated)
     comp = components(work, links, "star")
     named = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), "n")
     named = work.save(named, "named")
-    open_ = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    rest = block_survivors(work, named.join(open_, "bucket", "left_semi"), reps, need)
-    rest = work.save(rest.join(star, ["a", "b"], "left_anti"), "rest_pairs")
-    if rest.limit(1).count():
-        links = work.save(links.union(confirm(work, rest, docs, percent, "rest")), "links")
-        comp = components(work, links, "all")
+    apart = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    near = clusters(work, named.join(apart, "bucket", "left_semi"), reps, need)
+    if near is not None:
+        more = cluster_links(work, near, comp, reps, docs, need, percent, repeated)
+        comp = components(work, links.union(more), "all")
     # A class that has one row and no link is its own component; the others are looked up.
     known = reps.select("content", "rep", "n").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     known = known.filter("n > 1 or comp is not null").select(F.col("content").alias("_content"), F.coalesce("comp", "rep").alias("_comp"))
