@@ -31,8 +31,7 @@ SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
 HASHES = BANDS * ROWS
 MISS = 1e-5
 BLOCK = 256
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the map by which texts are read again: as many whatever the input, 2 MB.
 MAP_BITS = 24
 P64 = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +52,8 @@ WORDS = WordHashes()
 
 def words(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words of the whole text."""
-    found = [w.encode("utf-8", "surrogatepass") for w in (text or "").translate(UPPER).translate(TO_SPACE).split(" ") if w]
+    # Bytes split at the six ASCII white-space characters, and at no other.
+    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     return np.fromiter(map(WORDS.__getitem__, found), np.uint64, len(found))
 
 
