@@ -7,7 +7,7 @@
    batches of 16; a pair goes once the posterior probability of the wanted similarity falls to the chosen miss
    probability. Survivors are confirmed on the full shingle sets, and links are joined to components.
 4. What step 3 leaves apart is compared without emitting the pairs of a group. In buckets that still hold
-   several components, blocks of 256 are compared by signatures, and each pair of blocks gives a spanning
+   several components, blocks of 1024 are compared by signatures, and each pair of blocks gives a spanning
    forest of what survives. These forests make clusters; again in pairs of blocks, of 256, the members of a
    cluster are compared on their full sets, and each pair of blocks gives the links that join components.
 """
@@ -30,7 +30,8 @@ from .common import Work, table
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 4, 16
 HASHES = BANDS * ROWS
 MISS = 1e-5
-BLOCK = 256
+#: Members of a block that is compared on signatures, and of one compared on sets.
+SIG_BLOCK, SET_BLOCK = 1024, 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the map by which texts are read again: as many whatever the input, 2 MB.
 MAP_BITS = 24
@@ -260,7 +261,7 @@ def forest(a: np.ndarray, b: np.ndarray, names: np.ndarray) -> list[int]:
     return out
 
 
-def in_blocks(members: DataFrame, size: int = BLOCK) -> DataFrame:
+def in_blocks(members: DataFrame, size: int) -> DataFrame:
     """``members`` (id, n: the size of the group, ...) once for each pair of blocks (lo, hi) that its block is in.
 
     A block holds about ``size`` members, so that a task holds twice as many, however large the group is.
@@ -321,7 +322,7 @@ def clusters(work: Work, members: DataFrame, reps: DataFrame, need: tuple[int, .
         keep = forest(i, j, g.id.to_numpy())
         return as_pairs(g, i[keep], j[keep])
 
-    full = in_blocks(members).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    full = in_blocks(members, SIG_BLOCK).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
     edges = work.save(over_blocks(full, "bucket", pairs).distinct(), "near")
     if not edges.limit(1).count():
         return None
@@ -347,7 +348,7 @@ def cluster_links(work: Work, near: DataFrame, comp: DataFrame, reps: DataFrame,
     sizes = near.groupBy("cluster").agg(F.count("*").alias("n"))
     own = full_sets(work, docs, near.select("id"), repeated, "near")
     full = near.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(sizes, "cluster")
-    full = in_blocks(full).join(reps.select(F.col("rep").alias("id"), "sig"), "id").join(own, "id")
+    full = in_blocks(full, SET_BLOCK).join(reps.select(F.col("rep").alias("id"), "sig"), "id").join(own, "id")
     return work.save(over_blocks(full, "cluster", pairs), "near_links")
 
 
