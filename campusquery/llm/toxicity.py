@@ -51,27 +51,30 @@ def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
-def known_buckets(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of the distinct buckets of each text that ``known`` (bool by bucket) has.
+def known_by_slice(texts: list[str], known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of the distinct buckets of each text that ``known`` (bool by bucket) has, some texts at a time.
 
     Texts are lower-cased and framed by spaces; no n-gram spans two texts.
     """
-    rows, found = [], []
     for first, part in groups(texts):
         framed = [f" {t.lower()} " for t in part]
         codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4")
         ends = np.cumsum([len(t) for t in framed])
+        pairs = []
         for n in ORDERS:
             h = buckets(codes, n)
             at = np.flatnonzero(known[h])
             text = np.searchsorted(ends, at, "right")
             inside = at + n <= ends[text]
-            rows.append(text[inside] + first)
-            found.append(h[at[inside]])
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.unique((np.concatenate(rows).astype(np.int64) << BITS) | np.concatenate(found))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+            pairs.append(((text[inside] + first) << BITS) | h[at[inside]].astype(np.int64))
+        pairs = np.unique(np.concatenate(pairs))
+        yield pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def known_buckets(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All that ``known_by_slice`` gives; ``known`` must be few enough."""
+    found = [*known_by_slice(texts, known), (np.empty(0, np.int64),) * 2]
+    return np.concatenate([t for t, _ in found]), np.concatenate([b for _, b in found])
 
 
 @dataclass
@@ -123,8 +126,11 @@ def fit(work: Work, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
         everything = np.ones(1 << BITS, bool)
         for b in batches:
             for toxic, part in b.groupby("toxic"):
-                bucket, n = np.unique(known_buckets(part.text.tolist(), everything)[1], return_counts=True)
-                yield pd.DataFrame({"bucket": bucket, "toxic": toxic, "n": n})
+                n = np.zeros(1 << BITS, np.int64)
+                for _, bucket in known_by_slice(part.text.tolist(), everything):
+                    n += np.bincount(bucket, minlength=1 << BITS)
+                seen_here = np.flatnonzero(n)
+                yield pd.DataFrame({"bucket": seen_here, "toxic": toxic, "n": n[seen_here]})
 
     seen = rows.mapInPandas(presence, "bucket long, toxic int, n long")
     seen = seen.groupBy("bucket").agg(
