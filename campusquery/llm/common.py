@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a lookup side up to which it is broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 10_000
+BATCH_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,9 @@ class Work:
         if not base:
             base = tempfile.mkdtemp(prefix="campusquery-")
             spark.conf.set("spark.checkpoint.dir", base)
+        # Rows hold long texts: the default of 10000 in an Arrow batch makes buffers of a hundred MB on both sides.
+        if int(spark.conf.get(BATCH_ROWS)) > TEXT_ROWS:
+            spark.conf.set(BATCH_ROWS, TEXT_ROWS)
         self.spark, self.root = spark, f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -19,7 +19,7 @@ from .common import Work, table
 BITS = 20
 ORDERS = (4, 5)
 #: Labelled rows of each class that the fit sees at most, buckets that get a weight at most.
-SAMPLE, FEATURES = 4000, 1 << 15
+SAMPLE, FEATURES = 3000, 1 << 14
 #: Squared z of the difference of the class shares from which a bucket is taken for more than chance.
 MIN_TELLING = 12.0
 THRESHOLD = 0.3
@@ -168,7 +168,7 @@ def logistic(cols: list[np.ndarray], y: np.ndarray, scale: np.ndarray, prior: fl
 
     Rows weigh so that the classes have the shares of ``prior``.
     """
-    row, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
+    row, col = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols)
     share = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
     w, b = np.zeros(len(scale)), np.log(prior / (1 - prior))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
