@@ -154,7 +154,8 @@ def mix(work: Work, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), see
     got = work.save(got.filter("copies > 0").select(*[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "size", *KEY, "copies")]), "copies")
     null, src = source_key(F.col("source"))
     same = F.col("doc_id").eqNullSafe(F.col("_m_doc_id")) & (F.col("_size") == F.col("_m_size"))
-    out = sized.join(got, same & (null == F.col("_m_src_null")) & (src == F.col("_m_src")))
+    # Never broadcast: the copies grow with the documents, and their files are far smaller than their rows.
+    out = sized.join(got.hint("merge"), same & (null == F.col("_m_src_null")) & (src == F.col("_m_src")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*names)
 
 

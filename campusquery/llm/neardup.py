@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Work, table
@@ -170,18 +170,31 @@ def prune(pairs: DataFrame, reps: DataFrame, need: tuple[int, ...]) -> DataFrame
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def spot(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+
+
+def word_of(c: str) -> Column:
+    return F.shiftright(spot(c), 6)
+
+
+def bit_of(c: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), spot(c).bitwiseAND(63).cast("int"))
+
+
+def bit_map(work: Work, ids: DataFrame, name: str) -> DataFrame:
+    """(_word, _bits): the set bits of a map of the hashed ids (id); 2^18 rows at most, whatever the input."""
+    return work.save(ids.groupBy(word_of("id").alias("_word")).agg(F.bit_or(bit_of("id")).alias("_bits")), f"{name}_map")
+
+
 def full_sets(work: Work, docs: DataFrame, ids: DataFrame, repeated: bool, name: str) -> DataFrame:
     """(id, own) of the documents of ``ids`` (id) and a few others: the sorted shingle hashes of the whole text.
 
     Texts are not shuffled. A bit map of hashed ids goes to all readers; its size is fixed, so that with very
     many ids it lets more others through, which the joins that follow drop. Where ids repeat, the least set counts.
     """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), spot(c).bitwiseAND(63).cast("int"))
-    bits = ids.groupBy(F.shiftright(spot("id"), 6).alias("_word")).agg(F.bit_or(bit("id")).alias("_bits"))
-    bits = work.save(bits, f"{name}_map")
-    some = docs.select("doc_id", "text").join(F.broadcast(bits), F.shiftright(spot("doc_id"), 6) == F.col("_word"))
-    some = some.filter(F.col("_bits").bitwiseAND(bit("doc_id")) != 0).select("doc_id", "text")
+    some = docs.select("doc_id", "text").join(F.broadcast(bit_map(work, ids, name)), word_of("doc_id") == F.col("_word"))
+    some = some.filter(F.col("_bits").bitwiseAND(bit_of("doc_id")) != 0).select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -409,7 +422,13 @@ def keep_one(work: Work, docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(work, docs)
     kept = work.save(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept.select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    # Most rows stay: those that miss the map of the dropped ids need no join, and their texts no shuffle.
+    dropped = work.save(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    seen = docs.filter("doc_id is not null").withColumn("_spot", word_of("doc_id"))
+    seen = seen.join(F.broadcast(bit_map(work, dropped, "dropped")), F.col("_spot") == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit_of("doc_id")) != 0, F.lit(False))
+    doubtful = seen.filter(hit).select(*docs.columns).join(dropped.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id"), "left_anti")
+    out = seen.filter(~hit).select(*docs.columns).unionByName(doubtful)
     again = kept.filter("_n > 1").select("_kept")
     if again.limit(1).count():
         # Spark keeps the first row of each key before the shuffle, too, so a hot id makes one row per task.
