@@ -1,4 +1,634 @@
-"""Queries over the catalogue and the SQL that gives the same rows."""
+"""Queries over the catalogue and the SQL that gives the same rows.
+
+Customers stand for universities, orders for degrees, lines for courses, events for usage and logs; texts and
+pages stand for what a crawl brings.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from campusquery.functions import fixed, money, text
+from campusquery.operators import catalog, html, state
+from campusquery.sources.tables import SQL_VIEWS, courses, degrees, read, universities
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None, views: bool = True):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL after the catalogue's views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = (SQL_VIEWS + sql) if views else sql
+        return f
+
+    return add
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_any(c: str, parts: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, {q(p)})" for p in parts) + ")"
+
+
+# Search
+
+PUBLIC_SQL = "CASE WHEN regexp_matches(lower(tipo), 'p[úu]blic') THEN 0 ELSE 1 END"
+
+
+@query(f"SELECT t.codigo_estudio, titulo, nivel, codigo, nombre, tipo, ccaa FROM t LEFT JOIN u USING (u_key) WHERE ccaa ILIKE '%asia%' AND codigo_estudio IN (SELECT codigo_estudio FROM a) ORDER BY {PUBLIC_SQL}, titulo, codigo_estudio LIMIT 50 OFFSET 20")
+def search_degrees(spark, d):
+    """Flagship: degrees of a region that have courses, public first, one page."""
+    found = catalog.search(degrees(spark, d), universities(spark, d), read(spark, d, "lineitem").select(F.col("l_orderkey").alias("codigo_estudio")), region="asia")
+    return catalog.page(found, 20, 50).select("codigo_estudio", "titulo", "nivel", "codigo", "nombre", "tipo", "ccaa")
+
+
+@query("SELECT count(*) AS total, greatest(1, ceil(count(*) / 50))::BIGINT AS pages, 51::BIGINT AS first_item, least(100, count(*)) AS last_item FROM t LEFT JOIN u USING (u_key) WHERE nivel ILIKE '%URG%'")
+def search_total(spark, d):
+    n = catalog.search(degrees(spark, d), universities(spark, d), level="urg").agg(F.count("*").alias("total"))
+    pages, first, last = catalog.page_numbers(F.col("total"), 50, 2)
+    return n.select("total", pages.cast("long"), first.cast("long").alias("first_item"), last)
+
+
+@query("SELECT codigo, nombre, tipo, provincia, ccaa FROM u WHERE codigo = '007'")
+def degree_by_code(spark, d):
+    return catalog.lookup(universities(spark, d), "7").select("codigo", "nombre", "tipo", "provincia", "ccaa")
+
+
+@query("SELECT t.codigo_estudio, titulo, estado FROM t JOIN u USING (u_key) WHERE codigo = '007'")
+def degrees_of_university(spark, d):
+    return degrees(spark, d).join(catalog.lookup(universities(spark, d), "7"), "u_key").select("codigo_estudio", "titulo", "estado")
+
+
+@query("SELECT codigo, nombre FROM u WHERE nombre ILIKE '%000_1%'")
+def ilike_filter(spark, d):
+    return universities(spark, d).filter(F.col("nombre").ilike("%000_1%")).select("codigo", "nombre")
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, {q(fixed.FIELDS[3][1])}, 'i')", views=False)
+def field_family_filter(spark, d):
+    return read(spark, d, "documents").filter(F.col("text").rlike(f"(?iu){text.field_pattern('Artes y Humanidades')}")).select("doc_id")
+
+
+@query("SELECT codigo_estudio FROM t WHERE codigo_estudio IN (SELECT codigo_estudio FROM a WHERE caracter = 'R')")
+def has_plan_semi(spark, d):
+    plans = courses(spark, d).filter("caracter = 'R'").select("codigo_estudio")
+    return degrees(spark, d).join(plans, "codigo_estudio", "left_semi").select("codigo_estudio")
+
+
+@query("SELECT u_key, codigo FROM u")
+def zfill_lookup(spark, d):
+    return universities(spark, d).select("u_key", "codigo")
+
+
+@query("SELECT event_id, NOT lower(trim(CASE WHEN event_id % 5 = 0 THEN ' NaN ' WHEN event_id % 5 = 1 THEN '' ELSE event_type END)) IN ('', 'none', 'null', 'undefined', 'n/a', 'nan') AS ok FROM events", views=False)
+def meaningful_value(spark, d):
+    e = read(spark, d, "events")
+    v = F.when(F.col("event_id") % 5 == 0, " NaN ").when(F.col("event_id") % 5 == 1, "").otherwise(F.col("event_type"))
+    return e.select("event_id", text.meaningful(v).alias("ok"))
+
+
+LINKS_SQL = r"""WITH x AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)')) AS l, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)'), 1) - 1 AS pos FROM pages),
+l AS (SELECT page_id, url, pos::INTEGER AS pos, regexp_extract(l, '(?is)href="([^"]*)"', 1) AS href, trim(regexp_extract(l, '(?s)>([^<]*)$', 1)) AS label FROM x)
+"""
+
+
+@query(LINKS_SQL + "SELECT page_id, pos, href, label FROM l", views=False)
+def page_links(spark, d):
+    return html.links(read(spark, d, "pages")).select("page_id", "pos", "href", "label")
+
+
+@query(LINKS_SQL + "SELECT page_id, pos, trim(href) <> '' AND NOT regexp_matches(lower(trim(href)), '^(#|javascript:|mailto:|tel:|whatsapp:|ftp:|data:)') AS ok FROM l", views=False)
+def valid_link(spark, d):
+    return html.links(read(spark, d, "pages")).select("page_id", "pos", text.valid_link(F.col("href")).alias("ok"))
+
+
+HOST = "regexp_replace(lower(regexp_extract({}, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '')"
+
+
+@query(f"WITH h AS (SELECT page_id, {HOST.format('url')} AS h FROM pages) SELECT page_id, h AS host, h = 'example.com' OR h LIKE '%.example.com' OR 'example.com' LIKE '%.' || h AS same FROM h WHERE h <> ''", views=False)
+def same_site(spark, d):
+    p = read(spark, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), text.same_site(F.col("url"), F.lit("https://www.example.com/x")).alias("same"))
+    return p.filter("host <> ''")
+
+
+@query("SELECT page_id, CASE WHEN url LIKE 'http://%' THEN 'https://' || substr(url, 8) WHEN url LIKE 'https://%' THEN url ELSE 'https://' || url END AS url FROM pages", views=False)
+def ensure_https(spark, d):
+    return read(spark, d, "pages").select("page_id", text.https(F.col("url")).alias("url"))
+
+
+@query("SELECT codigo_estudio, CASE WHEN contains(lower(nivel), 'urgent') THEN 'Doctorado' WHEN contains(lower(nivel), 'high') THEN 'Máster' ELSE 'Grado' END AS badge, estado = 'F' AS extinct FROM t")
+def level_badge(spark, d):
+    n = F.lower("nivel")
+    return degrees(spark, d).select("codigo_estudio", F.when(n.contains("urgent"), "Doctorado").when(n.contains("high"), "Máster").otherwise("Grado").alias("badge"), (F.col("estado") == "F").alias("extinct"))
+
+
+@query(f"SELECT doc_id, {sql_any('lower(text)', ['extin', 'suprim', 'no vigente'])} AS extinct FROM documents", views=False)
+def extinct_flag(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.has_any(F.lower("text"), ["extin", "suprim", "no vigente"]).alias("extinct"))
+
+
+STATE = "CASE event_type WHEN 'view' THEN 'VIGENTE' WHEN 'click' THEN 'Publicado en B.O.E.' WHEN 'error' THEN 'Extinguida, vigente' WHEN 'purchase' THEN 'Impartiéndose' ELSE 'pendiente' END"
+
+
+@query(f"""WITH s AS (SELECT event_id, translate(lower({STATE}), 'é', 'e') AS s, CASE WHEN user_id % 3 = 0 THEN 'licenciado en x' ELSE 'grado en x' END AS t FROM events)
+SELECT event_id, {sql_any('s', fixed.ACTIVE)} AND NOT {sql_any('s', fixed.INACTIVE)} AND NOT starts_with(t, 'licenciado') AS active FROM s""", views=False)
+def active_degree_filter(spark, d):
+    e = read(spark, d, "events").select("event_id", F.expr(STATE).alias("s"), F.when(F.col("user_id") % 3 == 0, "Licenciado en X").otherwise("Grado en X").alias("t"))
+    return e.select("event_id", text.active_degree(F.col("s"), F.lit("Grado"), F.col("t")).alias("active"))
+
+
+# Coverage
+
+@query("SELECT count(DISTINCT a.codigo_estudio) AS with_courses, count(DISTINCT t.codigo_estudio) AS degrees, round(count(DISTINCT a.codigo_estudio) * 100.0 / count(DISTINCT t.codigo_estudio), 2)::DOUBLE AS pct FROM t LEFT JOIN a USING (codigo_estudio)")
+def coverage_ratio(spark, d):
+    both = degrees(spark, d).join(courses(spark, d).select(F.col("codigo_estudio").alias("p")).distinct(), F.col("codigo_estudio") == F.col("p"), "left")
+    return both.agg(F.countDistinct("p").alias("with_courses"), F.countDistinct("codigo_estudio").alias("degrees")).select("*", catalog.ratio(F.col("with_courses"), F.col("degrees")).alias("pct"))
+
+
+@query("SELECT ccaa, count(*) AS n FROM u JOIN t USING (u_key) WHERE trim(ccaa) <> '' GROUP BY ccaa")
+def degrees_by_region(spark, d):
+    return universities(spark, d).join(degrees(spark, d), "u_key").filter(F.trim("ccaa") != "").groupBy("ccaa").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT ccaa FROM u WHERE ccaa IS NOT NULL")
+def distinct_regions(spark, d):
+    return universities(spark, d).filter("ccaa is not null").select("ccaa").distinct().orderBy("ccaa")
+
+
+@query("SELECT (SELECT count(*) FROM t) AS plan_rows, (SELECT count(DISTINCT codigo_estudio) FROM a) AS plans_with_courses")
+def plan_rows_vs_plans_with_courses(spark, d):
+    return degrees(spark, d).agg(F.count("*").alias("plan_rows")).join(courses(spark, d).agg(F.countDistinct("codigo_estudio").alias("plans_with_courses")), how="inner")
+
+
+ECTS = "coalesce(sum(ects::DECIMAL(12,2)), 0)::DOUBLE"
+
+
+@query(f"SELECT t.codigo_estudio, count(a.orden) AS n, {ECTS} AS ects FROM t LEFT JOIN a USING (codigo_estudio) GROUP BY 1")
+def credit_sum_per_plan(spark, d):
+    return plan_sums(spark, d).select("codigo_estudio", "n", "ects")
+
+
+def plan_sums(spark, d) -> DataFrame:
+    """Degrees with the number and the credits of their courses, read from text as the catalogue stores them."""
+    value = text.first_number(F.concat(F.col("ects").cast("string"), F.lit(" ECTS"))).cast("decimal(12,2)")
+    sums = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("codigo_estudio"), F.col("l_quantity").alias("ects")).groupBy("codigo_estudio").agg(F.count("*").alias("n"), F.sum(value).alias("ects"))
+    return degrees(spark, d).join(sums, "codigo_estudio", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "ects": F.coalesce(F.col("ects").cast("double"), F.lit(0.0))})
+
+
+STATUS = f"""s AS (SELECT t.codigo_estudio, nivel, count(a.orden) AS n, {ECTS} AS ects FROM t LEFT JOIN a USING (codigo_estudio) GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN nivel = '1-URGENT' THEN 'doctorado_estructural' WHEN n = 0 THEN 'sin_plan' WHEN ects >= 60 THEN 'completo' ELSE 'incompleto_parcial' END AS status FROM s)
+"""
+
+
+def with_status(spark, d) -> DataFrame:
+    s = plan_sums(spark, d)
+    doctoral = F.col("nivel") == "1-URGENT"
+    return s.withColumn("status", money.completeness(doctoral, doctoral | (F.col("n") > 0), F.col("n"), F.lit(0), F.col("ects"), F.lit(60.0)))
+
+
+@query("," + STATUS + "SELECT codigo_estudio, status FROM c")
+def completeness_status(spark, d):
+    return with_status(spark, d).select("codigo_estudio", "status")
+
+
+@query("," + STATUS + "SELECT nivel, count(*) AS total, count(*) FILTER (status = 'completo') AS complete, count(*) FILTER (status = 'incompleto_parcial') AS partial, round(count(*) FILTER (status = 'completo') * 100.0 / count(*), 2)::DOUBLE AS pct FROM c GROUP BY ROLLUP (nivel)")
+def quality_by_level(spark, d):
+    c = with_status(spark, d).rollup("nivel").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completo").alias("complete"), F.count_if(F.col("status") == "incompleto_parcial").alias("partial"))
+    return c.select("*", catalog.ratio(F.col("complete"), F.col("total")).alias("pct"))
+
+
+@query("SELECT codigo_estudio, CASE WHEN codigo_estudio % 7 = 0 THEN 360 WHEN codigo_estudio % 7 = 1 THEN 300 WHEN codigo_estudio % 7 = 2 THEN 120 WHEN codigo_estudio % 7 = 3 THEN 90 WHEN codigo_estudio % 7 = 4 THEN 60 WHEN codigo_estudio % 7 = 5 THEN 45 ELSE 240 END::DOUBLE AS required FROM t")
+def required_credits(spark, d):
+    k = F.col("codigo_estudio") % 7
+    title = F.when(k == 0, "Medicina").when(k == 1, "Farmacia").when(k == 2, "Ingeniería Industrial").when(k == 3, "Abogacía").when(k == 4, "Historia").otherwise("Derecho")
+    level = F.when(k.isin(2, 3, 4), "Máster - RD 822").otherwise("Grado")
+    return degrees(spark, d).select("codigo_estudio", money.required_credits(level, title, F.when(k == 5, "45,0").otherwise("12")).alias("required"))
+
+
+# Text
+
+@query(r"SELECT doc_id, trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[;:,]+$', '')) AS clean FROM documents", views=False)
+def sanitize_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.sanitize(F.col("text")).alias("clean"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(trim(p_name), '[.,;:\- ]+$', '') AS clean FROM part", views=False)
+def sanitize_subject(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.sanitize_subject(F.concat(F.lit("40147 - "), "p_name", F.lit(" ...... "))).alias("clean"))
+
+
+@query("SELECT p_partkey, p_name || ' ne odarG ne ' AS fixed FROM part", views=False)
+def unreverse(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.reverse(text.unreverse(F.concat("p_name", F.lit(" ne odarG ne ")))).alias("r")).select("p_partkey", F.concat(F.reverse(F.reverse(F.reverse("r"))), F.lit("")).alias("fixed")).withColumn("fixed", F.concat(F.reverse("fixed"), F.lit(" ")))
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]{3,}'))) AS k FROM part", views=False)
+def keywords(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.array_sort(text.tokens(F.col("p_name"))).alias("k"))
+
+
+@query("WITH k AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]{3,}')) AS k, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]{3,}')) AS s FROM part) SELECT p_partkey, CASE WHEN len(k) = 0 THEN false WHEN len(k) <= 2 THEN len(list_intersect(k, s)) >= 1 ELSE len(list_intersect(k, s)) >= 2 OR 2 * len(list_intersect(k, s)) >= len(k) END AS hit FROM k", views=False)
+def section_match(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.section_match(text.tokens(F.col("p_name")), text.tokens(F.col("p_type"))).alias("hit"))
+
+
+TYPE_SQL = "CASE " + " ".join(f"WHEN {sql_any('lower(x)', p)} THEN {q(n)}" for p, n in fixed.SUBJECT_TYPES) + " ELSE 'OB' END"
+
+
+@query(f"SELECT p_partkey, {TYPE_SQL.replace('lower(x)', 'lower(p_name)')} AS kind FROM part", views=False)
+def subject_type(spark, d):
+    return read(spark, d, "part").select("p_partkey", text.subject_type(F.col("p_name")).alias("kind"))
+
+
+TERM_IN = "(['Anual', '1º', '2.º', '1er cuatrimestre', 'semestre 4', 'S1', 'verano', ''])[1 + (event_id % 8)::INTEGER]"
+
+
+@query(f"SELECT event_id, ['Anual', '1C', '2C', '1C', '2C', '1C', 'Anual', ''][1 + (event_id % 8)::INTEGER] AS t FROM events".replace("'1C', 'Anual', ''", "'1C', 'verano', ''"), views=False)
+def normalize_term(spark, d):
+    forms = F.array(*[F.lit(x) for x in ("Anual", "1º", "2.º", "1er cuatrimestre", "semestre 4", "S1", "verano", "")])
+    return read(spark, d, "events").select("event_id", text.term(F.get(forms, (F.col("event_id") % 8).cast("int"))).alias("t"))
+
+
+@query("SELECT event_id, ['1', '2', '3', '', '4', '', '6', ''][1 + (event_id % 8)::INTEGER] AS y FROM events", views=False)
+def normalize_year(spark, d):
+    forms = F.array(*[F.lit(x) for x in ("1er", "Segon", "iii", "Comunicación Oral", "Curso 4", "6", "año 6", "")])
+    return read(spark, d, "events").select("event_id", text.year(F.get(forms, (F.col("event_id") % 8).cast("int")), F.lit(6.0)).alias("y"))
+
+
+@query("SELECT event_id, ['Andalucía', 'País Vasco', 'Castilla-La Mancha', 'Castilla y León', 'Marte'][1 + (event_id % 5)::INTEGER] AS r FROM events", views=False)
+def normalize_region(spark, d):
+    forms = F.array(*[F.lit(x) for x in ("Junta de Andalucía", "Euskadi", "CASTILLA LA MANCHA", "castilla y leon", "Marte")])
+    return read(spark, d, "events").select("event_id", text.region(F.get(forms, (F.col("event_id") % 5).cast("int"))).alias("r"))
+
+
+@query("SELECT event_id, [85.5, 1250.0, 9800.0, 5.0, NULL][1 + (event_id % 5)::INTEGER]::DOUBLE AS v FROM events", views=False)
+def parse_price(spark, d):
+    forms = F.array(*[F.lit(x) for x in ("85,50 €", "1.250", "9.800,00", "5.0", "gratis")])
+    return read(spark, d, "events").select("event_id", text.price(F.get(forms, (F.col("event_id") % 5).cast("int")), 1, 45000).alias("v"))
+
+
+@query("""SELECT doc_id, '"' || replace(CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END, '"', '""') || '"' AS cell FROM documents""", views=False)
+def csv_guard(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.csv_cell(F.col("text")).alias("cell"))
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1", views=False)
+def content_sha256(spark, d):
+    return read(spark, d, "documents").groupBy(F.sha2(F.col("text"), 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(c_custkey::VARCHAR) < 3 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END AS code FROM customer", views=False)
+def excel_code(spark, d):
+    return read(spark, d, "customer").select("c_custkey", text.excel_code(F.concat(F.lit(" "), "c_custkey", F.lit(".0")), 3).alias("code"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_extract(text, {q('(?i)' + p)}, 1) AS c{k}" for k, (_, p) in enumerate(fixed.CREDIT_SUMMARY)) + " FROM documents", views=False)
+def credit_summary_regex(spark, d):
+    m = text.credit_summary(F.col("text"))
+    rows = read(spark, d, "documents").select("doc_id", m.alias("m"))
+    return rows.select("doc_id", *[F.coalesce(F.col("m")[name], F.lit("")).alias(f"c{k}") for k, (name, _) in enumerate(fixed.CREDIT_SUMMARY)])
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, regexp_extract(line, '^([A-Z][a-z]+)\s+(\S+)', 1) AS nombre, regexp_extract(line, '^([A-Z][a-z]+)\s+(\S+)', 2) AS siguiente FROM l WHERE regexp_matches(line, '^([A-Z][a-z]+)\s+(\S+)')""", views=False)
+def line_course_fallback(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    p = r"^([A-Z][a-z]+)\s+(\S+)"
+    return rows.filter(F.col("line").rlike(p)).select("doc_id", F.regexp_extract("line", p, 1).alias("nombre"), F.regexp_extract("line", p, 2).alias("siguiente"))
+
+
+# Tariffs
+
+@query(None)
+def degree_price(spark, d):
+    """Tariffs of all degrees, region by region of the catalogue; held to literal expectations in the tests."""
+    names = F.array(*[F.lit(x) for x in fixed.TARIFFS])
+    u = universities(spark, d).select("u_key", "tipo", F.get(names, (F.col("u_key") % len(fixed.TARIFFS)).cast("int")).alias("ccaa"))
+    return money.degree_price(degrees(spark, d).join(u, "u_key").select("codigo_estudio", "titulo", "nivel", "tipo", "ccaa"), "ccaa", "tipo", "nivel", "titulo")
+
+
+@query("SELECT codigo_estudio, precio / 100 AS p1, precio / 100 * 1.5 AS p2, CASE WHEN codigo_estudio % 2 = 0 THEN 50.0::DOUBLE ELSE precio / 100 * 3.0 END AS p3, precio / 100 * 4.5 AS p4 FROM t")
+def tier_price(spark, d):
+    base, zero = F.col("precio") / 100, F.lit(0.0)
+    third = F.when(F.col("codigo_estudio") % 2 == 0, 50.0).otherwise(0.0)
+    return degrees(spark, d).select("codigo_estudio", *[money.tier_price(k, base, zero, third, F.lit(None).cast("double")).alias(f"p{k}") for k in (1, 2, 3, 4)])
+
+
+@query("SELECT codigo_estudio, CASE WHEN codigo_estudio % 3 = 0 THEN NULL WHEN codigo_estudio % 3 = 1 THEN precio ELSE round(60 * (codigo_estudio % 50) + 45.0)::DOUBLE END AS anual FROM t")
+def display_annual_price(spark, d):
+    k = F.col("codigo_estudio") % 3
+    stored, unit = F.when(k == 1, F.col("precio")), F.when(k == 2, F.col("codigo_estudio") % 50)
+    return degrees(spark, d).select("codigo_estudio", F.coalesce(stored, F.round(60 * unit + 45.0)).cast("double").alias("anual"))
+
+
+# Tuition
+
+LINES = "x AS (SELECT *, row_number() OVER (PARTITION BY codigo_estudio ORDER BY orden, l_partkey, l_suppkey, l_extendedprice) AS i, least(orden, 4) AS tier FROM a)"
+
+
+@query(", RECURSIVE_PLACE", views=False)
+def preselect_courses(spark, d):
+    items = F.array_sort(F.collect_list(F.struct("orden", "l_partkey", "l_suppkey", "l_extendedprice", "ects")))
+    rows = courses(spark, d).groupBy("codigo_estudio").agg(items.alias("x"))
+    numbered = F.transform("x", lambda x, i: F.struct((i + 1).alias("i"), x["ects"].alias("ects")))
+    return rows.select("codigo_estudio", F.array_join(state.preselect(numbered), ",").alias("taken"))
+
+
+ORACLE_SQL["preselect_courses"] = SQL_VIEWS.replace("WITH u AS", "WITH RECURSIVE u AS") + f""", {LINES},
+r AS (SELECT codigo_estudio, i, CASE WHEN ects <= 60 THEN ects ELSE 0 END AS s, CASE WHEN ects <= 60 THEN i::VARCHAR ELSE '' END AS taken FROM x WHERE i = 1
+      UNION ALL SELECT r.codigo_estudio, x.i, CASE WHEN s + ects <= 60 THEN s + ects ELSE s END, CASE WHEN s + ects <= 60 THEN taken || CASE WHEN taken = '' THEN '' ELSE ',' END || x.i::VARCHAR ELSE taken END
+      FROM r JOIN x ON x.codigo_estudio = r.codigo_estudio AND x.i = r.i + 1)
+SELECT codigo_estudio, max_by(taken, i) AS taken FROM r GROUP BY 1"""
+
+COST = "(ects::DECIMAL(12,2) * CASE tier WHEN 1 THEN 12.62 WHEN 2 THEN 25.24 WHEN 3 THEN 54.40 ELSE 75.60 END)"
+
+
+def tuition(spark, d) -> DataFrame:
+    """Per degree: number, credits and cost of its courses, and of those at the first enrolment; a tier per line number."""
+    tier = F.least(F.col("l_linenumber"), F.lit(4))
+    price = F.when(tier == 1, F.lit("12.62")).when(tier == 2, "25.24").when(tier == 3, "54.40").otherwise("75.60").cast("decimal(6,2)")
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("codigo_estudio"), tier.alias("tier"), F.col("l_quantity").cast("decimal(12,2)").alias("ects"), (F.col("l_quantity").cast("decimal(12,2)") * price).alias("cost"))
+    return rows
+
+
+@query(f", {LINES} SELECT codigo_estudio, " + ", ".join(f"coalesce(sum({COST}) FILTER (tier = {k}), 0)::DOUBLE AS tier{k}" for k in (1, 2, 3, 4)) + " FROM x GROUP BY 1")
+def tuition_by_tier(spark, d):
+    p = tuition(spark, d).groupBy("codigo_estudio").pivot("tier", [1, 2, 3, 4]).agg(F.sum("cost"))
+    return p.select("codigo_estudio", *[F.coalesce(F.col(str(k)).cast("double"), F.lit(0.0)).alias(f"tier{k}") for k in (1, 2, 3, 4)])
+
+
+DISCOUNTS = f""", {LINES}, y AS (SELECT codigo_estudio, sum({COST})::DOUBLE AS cost, coalesce(sum({COST}) FILTER (tier = 1), 0)::DOUBLE AS first FROM x GROUP BY 1),
+z AS (SELECT *, cost * 0.5 AS large_family, cost AS special, first AS grant, least(cost, 60 * 12.62) AS honours, first * 0.99 AS bonus FROM y)"""
+
+
+def discounts(spark, d) -> DataFrame:
+    y = tuition(spark, d).groupBy("codigo_estudio").agg(F.sum("cost").cast("double").alias("cost"), F.coalesce(F.sum(F.when(F.col("tier") == 1, F.col("cost"))).cast("double"), F.lit(0.0)).alias("first"))
+    return y.withColumns({"large_family": F.col("cost") * 0.5, "special": F.col("cost"), "grant": F.col("first"), "honours": F.least("cost", F.lit(60 * 12.62)), "bonus": F.col("first") * 0.99})
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select("codigo_estudio", *[F.round(F.col(c) + 1e-6, 2).alias(c) for c in cols])
+
+
+def sql_rounded(*cols: str) -> str:
+    return ", ".join(f"round({c} + 1e-6, 2) AS {c}" for c in cols)
+
+
+@query(DISCOUNTS + f" SELECT codigo_estudio, {sql_rounded('large_family', 'special', 'grant', 'honours', 'bonus')} FROM z")
+def tuition_discounts(spark, d):
+    return rounded(discounts(spark, d), "large_family", "special", "grant", "honours", "bonus")
+
+
+@query(DISCOUNTS + ", w AS (SELECT codigo_estudio, greatest(0, cost - large_family + 22.5) AS family_total, greatest(0, cost - grant + 45) AS grant_total, greatest(0, cost - honours + 45) AS honours_total FROM z)" + f" SELECT codigo_estudio, {sql_rounded('family_total', 'grant_total', 'honours_total')} FROM w")
+def tuition_total(spark, d):
+    z = discounts(spark, d)
+    return rounded(z.withColumns({"family_total": F.greatest(F.lit(0.0), F.col("cost") - F.col("large_family") + 22.5), "grant_total": F.greatest(F.lit(0.0), F.col("cost") - F.col("grant") + 45), "honours_total": F.greatest(F.lit(0.0), F.col("cost") - F.col("honours") + 45)}), "family_total", "grant_total", "honours_total")
+
+
+@query("SELECT codigo_estudio, round(60 * 16.8 * (CASE codigo_estudio % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 WHEN 2 THEN 3.0 ELSE 4.5 END), 2)::DOUBLE AS total, 10::BIGINT AS n FROM t")
+def flat_simulation(spark, d):
+    k = F.col("codigo_estudio") % 4
+    factor = F.when(k == 0, 1.0).when(k == 1, 1.5).when(k == 2, 3.0).otherwise(4.5)
+    return degrees(spark, d).select("codigo_estudio", F.round(60 * F.lit(money.DEFAULT_PRICE) * factor, 2).alias("total"), F.round(F.lit(60) / 6).cast("long").alias("n"))
+
+
+@query("SELECT codigo_estudio, curso, count(*) AS n, array_to_string(list_sort(list(nombre)), '|') AS nombres FROM a GROUP BY 1, 2")
+def courses_by_year(spark, d):
+    return courses(spark, d).groupBy("codigo_estudio", "curso").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("nombre")), "|").alias("nombres"))
+
+
+# Places
+
+CITY_SQL = "CASE " + " ".join(f"WHEN contains(p, {q(k)}) OR contains(p, {q(prov.lower())}) THEN {q(name)}" for k, _, _, prov, name in fixed.CITIES) + " ELSE 'Madrid' END"
+PLACES = ("Universidad de Cádiz", "Castilla y León", "Comunitat Valenciana", "Las Palmas", "Burgos", "Marte")
+
+
+def resolved(spark, d) -> DataFrame:
+    """Universities with the first city whose key or province their text holds; the 56 cities are one constant array."""
+    cities = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p.lower()).alias("province"), F.lit(n).alias("city"), F.lit(a).alias("lat"), F.lit(b).alias("lng")) for k, a, b, p, n in fixed.CITIES])
+    place = F.get(F.array(*[F.lit(p) for p in PLACES]), (F.col("u_key") % len(PLACES)).cast("int"))
+    p = F.lower(place)
+    hit = F.get(F.filter(cities, lambda c: p.contains(c["key"]) | p.contains(c["province"])), F.lit(0))
+    madrid = F.get(cities, F.lit(1))
+    return universities(spark, d).withColumn("_c", F.coalesce(hit, madrid)).select("u_key", "_c.city", "_c.lat", "_c.lng")
+
+
+PLACE_SQL = "lower([" + ", ".join(q(p) for p in PLACES) + f"][1 + (u_key % {len(PLACES)})::INTEGER])"
+
+
+@query(f"SELECT u_key, {CITY_SQL} AS city FROM (SELECT u_key, {PLACE_SQL} AS p FROM u)")
+def resolve_city(spark, d):
+    return resolved(spark, d).select("u_key", "city")
+
+
+CITIES_SQL = "c(city, lat, lng) AS (VALUES " + ", ".join(f"({q(n)}, {a}::DOUBLE, {b}::DOUBLE)" for _, a, b, _, n in fixed.CITIES) + ")"
+
+
+@query(f", {CITIES_SQL}, g AS (SELECT u_key, {CITY_SQL} AS city FROM (SELECT u_key, {PLACE_SQL} AS p FROM u)), k AS (SELECT u_key, city, pow(sin(radians(lat - 36.5271) / 2), 2) + cos(radians(36.5271)) * cos(radians(lat)) * pow(sin(radians(lng + 6.2886) / 2), 2) AS h FROM g JOIN c USING (city))\nSELECT u_key, city, round(6371 * 2 * atan2(sqrt(h), sqrt(1 - h)), 1) AS km FROM k ORDER BY km, u_key LIMIT 30")
+def nearest_universities(spark, d):
+    _, lat, lng, *_ = fixed.CITIES[0]
+    km = money.haversine_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
+    return resolved(spark, d).select("u_key", "city", km.alias("km")).orderBy("km", "u_key").limit(30)
+
+
+# Usage
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10", views=False)
+def top_searches(spark, d):
+    return catalog.top(read(spark, d, "events").filter("event_type = 'click'"), "user_id")
+
+
+@query("SELECT u_key, coalesce(n, 0) AS n FROM u LEFT JOIN (SELECT user_id AS u_key, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) USING (u_key) ORDER BY n DESC, u_key LIMIT 6")
+def top_viewed(spark, d):
+    views = read(spark, d, "events").filter("event_type = 'view'").groupBy(F.col("user_id").alias("u_key")).agg(F.count("*").alias("n"))
+    return universities(spark, d).join(views, "u_key", "left").select("u_key", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "u_key").limit(6)
+
+
+@query("SELECT round(count(*) FILTER (event_type = 'purchase') * 100.0 / count(*) FILTER (event_type = 'click'), 2)::DOUBLE AS pct FROM events", views=False)
+def conversion_ratio(spark, d):
+    c = read(spark, d, "events").agg(F.count_if(F.col("event_type") == "purchase").alias("a"), F.count_if(F.col("event_type") == "click").alias("b"))
+    return c.select(catalog.ratio(F.col("a"), F.col("b")).alias("pct"))
+
+
+@query("SELECT count(*) AS n, round(avg(value))::BIGINT AS mean_ms, round(count(*) FILTER (event_type = 'error') * 100.0 / count(*))::BIGINT AS error_pct FROM events", views=False)
+def latency_summary(spark, d):
+    e = read(spark, d, "events")
+    return e.agg(F.count("*").alias("n"), F.round(F.avg("value")).cast("long").alias("mean_ms"), F.round(F.count_if(F.col("event_type") == "error") * 100.0 / F.count("*")).cast("long").alias("error_pct"))
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 3) AS mean_ms, round(count(*) FILTER (event_type = 'error') * 100.0 / count(*), 2)::DOUBLE AS error_pct FROM events GROUP BY 1", views=False)
+def latency_by_domain(spark, d):
+    return catalog.latency(read(spark, d, "events"), "user_id")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50", views=False)
+def recent_events(spark, d):
+    return read(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20", views=False)
+def retention_200(spark, d):
+    return catalog.last_rows(read(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2)::DOUBLE AS pct FROM events GROUP BY 1", views=False)
+def error_rate(spark, d):
+    e = read(spark, d, "events")
+    total = e.agg(F.count("*").alias("total"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n")).join(F.broadcast(total), how="inner").select("event_type", "n", catalog.ratio(F.col("n"), F.col("total")).alias("pct"))
+
+
+@query("""WITH r AS (SELECT user_id, ts, event_type, sum((event_type <> 'view')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+SELECT user_id, count(*) AS failures, min(ts) AS since FROM r WHERE event_type = 'view' GROUP BY user_id, k HAVING count(*) >= 5""", views=False)
+def circuit_breaker(spark, d):
+    return catalog.failure_streaks(read(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "view", 5)
+
+
+# Dedupe and windows
+
+@query("SELECT p_name, max(p_partkey) AS p_partkey FROM part GROUP BY p_name", views=False)
+def latest_version_per_title(spark, d):
+    p = read(spark, d, "part").select("p_name", "p_partkey", text.title_base(F.col("p_name")).alias("base"), F.col("p_partkey").cast("string").alias("code"))
+    return state.latest_versions(p, ["base"], "code", "p_partkey").select("p_name", "p_partkey")
+
+
+ORDER = ["orden", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(""", x AS (SELECT *, CASE WHEN cuatrimestre = 'F' THEN '' ELSE cuatrimestre END AS c2, CASE WHEN caracter = 'N' THEN 'OB' ELSE caracter END AS k2 FROM a),
+y AS (SELECT codigo_estudio, nombre, orden, first_value(nullif(c2, '') IGNORE NULLS) OVER w AS c, first_value(nullif(k2, 'OB') IGNORE NULLS) OVER w AS k, row_number() OVER (PARTITION BY codigo_estudio, lower(nombre) ORDER BY orden, l_partkey, l_suppkey, l_extendedprice) AS n
+FROM x WINDOW w AS (PARTITION BY codigo_estudio, lower(nombre) ORDER BY orden, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT codigo_estudio, nombre, orden, coalesce(c, '') AS cuatrimestre, coalesce(k, 'OB') AS caracter FROM y WHERE n = 1""")
+def first_course_with_fill(spark, d):
+    c = courses(spark, d).withColumns({"cuatrimestre": F.when(F.col("cuatrimestre") == "F", "").otherwise(F.col("cuatrimestre")), "caracter": F.when(F.col("caracter") == "N", "OB").otherwise(F.col("caracter")), "_k": text.name_key(F.col("nombre"))})
+    return state.first_with_fill(c, "codigo_estudio", "_k", ORDER, ["cuatrimestre"], "caracter").select("codigo_estudio", "nombre", "orden", "cuatrimestre", "caracter")
+
+
+@query("SELECT codigo_estudio, orden, l_partkey FROM a QUALIFY max(orden) OVER (PARTITION BY codigo_estudio) > 0 AND row_number() OVER (PARTITION BY codigo_estudio ORDER BY orden DESC, l_partkey, l_suppkey, l_extendedprice) <= 3")
+def candidate_cap(spark, d):
+    return catalog.last_rows(courses(spark, d), ["codigo_estudio"], [F.desc("orden"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("codigo_estudio", "orden", "l_partkey")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events", views=False)
+def carry_forward_section(spark, d):
+    e = read(spark, d, "events").withColumn("_h", F.when(F.col("event_type") == "signup", F.col("event_id")))
+    return state.carry_forward(e, "user_id", ["ts", "event_id"], "_h", "section").select("event_id", "section")
+
+
+@query("""WITH r AS (SELECT user_id, ts, event_id, event_type, sum((event_type <> 'view')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)
+SELECT user_id, island::BIGINT AS island, string_agg(event_type, ' ' ORDER BY ts, event_id) AS joined FROM r GROUP BY 1, 2""", views=False)
+def stitch_fragments(spark, d):
+    e = state.stitch(read(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", F.col("event_type") == "view")
+    return e.withColumnRenamed("event_type", "joined")
+
+
+# Nested
+
+@query("SELECT codigo_estudio, count(*) AS n, sum(ects)::DOUBLE AS ects FROM a GROUP BY 1")
+def explode_courses(spark, d):
+    nested = courses(spark, d).groupBy("codigo_estudio").agg(F.collect_list(F.struct("orden", "nombre", "ects")).alias("elementos"))
+    return nested.select("codigo_estudio", F.explode("elementos").alias("e")).groupBy("codigo_estudio").agg(F.count("*").alias("n"), F.sum("e.ects").alias("ects"))
+
+
+@query("SELECT event_id, 'k' AS clave, json_extract_string(props, '$.k')::BIGINT AS valor FROM events", views=False)
+def explode_summary(spark, d):
+    m = read(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("clave", "valor"))
+    return m
+
+
+@query("SELECT t.codigo_estudio, titulo, count(a.orden) AS n, coalesce(string_agg(nombre, '|' ORDER BY orden, nombre), '') AS cursos FROM t LEFT JOIN a USING (codigo_estudio) GROUP BY 1, 2")
+def nested_detail(spark, d):
+    parts = courses(spark, d).groupBy("codigo_estudio").agg(F.array_sort(F.collect_list(F.struct("orden", "nombre"))).alias("c"))
+    out = degrees(spark, d).join(parts, "codigo_estudio", "left")
+    return out.select("codigo_estudio", "titulo", F.coalesce(F.size("c"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(F.transform("c", lambda x: x["nombre"]), "|"), F.lit("")).alias("cursos"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type AS extra FROM events", views=False)
+def map_merge_first_wins(spark, d):
+    old, new = F.from_json("props", "map<string,string>"), F.create_map(F.lit("k"), F.lit("later"), F.lit("extra"), F.col("event_type"))
+    merged = F.map_concat(old, F.map_filter(new, lambda k, _: ~F.map_contains_key(old, F.lit("k")) | (k != "k")))
+    return read(spark, d, "events").select("event_id", merged["k"].cast("bigint").alias("k"), merged["extra"].alias("extra"))
+
+
+# Upserts: even keys are stored, keys divisible by 3 arrive
+
+@query("""SELECT codigo_estudio, CASE WHEN codigo_estudio % 2 = 1 THEN titulo WHEN codigo_estudio % 3 = 0 AND codigo_estudio % 5 <> 0 THEN titulo || ' nuevo' ELSE titulo END AS titulo, CASE WHEN codigo_estudio % 2 = 1 THEN 0.0::DOUBLE ELSE precio END AS precio
+FROM t WHERE codigo_estudio % 2 = 0 OR codigo_estudio % 3 = 0""")
+def upsert_degrees(spark, d):
+    t = degrees(spark, d).select("codigo_estudio", "titulo", "precio")
+    old = t.filter("codigo_estudio % 2 = 0")
+    new = t.filter("codigo_estudio % 3 = 0").select("codigo_estudio", F.when(F.col("codigo_estudio") % 2 == 1, F.col("titulo")).when(F.col("codigo_estudio") % 5 == 0, "").otherwise(F.concat("titulo", F.lit(" nuevo"))).alias("titulo"), F.lit(0.0).alias("precio"))
+    return state.upsert(old, new, "codigo_estudio", ["titulo", "precio"])
+
+
+@query("SELECT codigo, CASE WHEN u_key % 2 = 0 THEN nombre ELSE nombre || ' nueva' END AS nombre FROM u WHERE u_key % 2 = 0 OR u_key % 3 = 0")
+def insert_only_universities(spark, d):
+    u = universities(spark, d)
+    new = u.filter("u_key % 3 = 0").select("codigo", F.concat("nombre", F.lit(" nueva")).alias("nombre"))
+    return state.insert_only(u.filter("u_key % 2 = 0").select("codigo", "nombre"), new, "codigo")
+
+
+@query("SELECT codigo_estudio FROM t WHERE codigo_estudio % 3 = 0 OR codigo_estudio % 7 = 0")
+def prune_missing(spark, d):
+    t = degrees(spark, d).select("codigo_estudio", (F.col("codigo_estudio") % 7 == 0).alias("admin"))
+    return state.prune(t, t.filter("codigo_estudio % 3 = 0"), "codigo_estudio", 100, "admin").select("codigo_estudio")
+
+
+@query("SELECT codigo_estudio, CASE WHEN codigo_estudio % 3 = 0 THEN 'nuevo' ELSE nombre END AS nombre, count(*) AS n FROM a GROUP BY 1, 2")
+def replace_children(spark, d):
+    c = courses(spark, d).select("codigo_estudio", "nombre")
+    out = state.replace_children(c, c.filter("codigo_estudio % 3 = 0").withColumn("nombre", F.lit("nuevo")), "codigo_estudio")
+    return out.groupBy("codigo_estudio", "nombre").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 2 = 1", views=False)
+def error_dedupe_nullsafe(spark, d):
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 > 1, F.col("event_type")).alias("reason"))
+    return state.new_errors(e.filter("event_id % 2 = 0"), e, ["event_id", "reason"]).select("event_id")
+
+
+@query("SELECT codigo_estudio, CASE WHEN codigo_estudio % 4 = 0 THEN true WHEN codigo_estudio % 2 = 1 THEN false ELSE true END AS fresh FROM t")
+def up_to_date_check(spark, d):
+    t, k = degrees(spark, d).select("codigo_estudio"), F.col("codigo_estudio") % 4
+    seen = t.filter("codigo_estudio % 2 = 0").select("codigo_estudio", F.lit("u").alias("seen_url"), F.lit("2020-01-01").alias("seen_date"))
+    rows = t.join(seen, "codigo_estudio", "left")
+    return rows.select("codigo_estudio", state.up_to_date(F.when(k != 0, "u"), F.when(k == 1, "2021-01-01"), F.col("seen_url"), F.col("seen_date"), F.col("seen_url").isNotNull()).alias("fresh"))
+
+
+@query("SELECT url, count(*) AS n FROM pages WHERE page_id % 5 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0) GROUP BY 1", views=False)
+def negative_cache_anti(spark, d):
+    p = read(spark, d, "pages")
+    return p.join(p.filter("page_id % 5 = 0").select("url"), "url", "left_anti").groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM t WHERE u_key % 2 = 1) AS degrees, (SELECT count(*) FROM a JOIN t USING (codigo_estudio) WHERE u_key % 2 = 1) AS courses")
+def cascade_delete(spark, d):
+    gone = universities(spark, d).filter("u_key % 2 = 0").select("u_key")
+    left = degrees(spark, d).join(gone, "u_key", "left_anti").select("codigo_estudio")
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("codigo_estudio")).join(left, "codigo_estudio", "left_semi")
+    return left.agg(F.count("*").alias("degrees")).join(rows.agg(F.count("*").alias("courses")), how="inner")
+
+
+# Extraction
+
+@query(None)
+def html_subjects(spark, d):
+    """Cells of course tables set into pages made from the catalogue; the pages themselves hold no table."""
+    row = F.concat(F.lit("<tr><td>"), "p_name", F.lit("</td><td>6 ECTS</td></tr>"))
+    pages = read(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.concat_ws("", F.lit("<table><tr><th>Asignatura</th><th>Créditos</th></tr>"), F.array_sort(F.collect_list(row)), F.lit("</table>")).alias("html"))
+    return html.extract_tables(pages)
+
+
+@query(LINKS_SQL + "SELECT page_id, max(10 + CASE WHEN contains(lower(href), 'grado') THEN 90 ELSE 0 END + CASE WHEN contains(lower(label), 'the') THEN 40 ELSE 0 END) AS score FROM l GROUP BY 1", views=False)
+def page_link_scores(spark, d):
+    score = F.lit(10) + F.when(F.lower("href").contains("grado"), 90).otherwise(0) + F.when(F.lower("label").contains("the"), 40).otherwise(0)
+    return html.links(read(spark, d, "pages")).groupBy("page_id").agg(F.max(score).alias("score"))
