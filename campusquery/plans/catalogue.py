@@ -6,9 +6,7 @@ pages stand for what a crawl brings.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campusquery.functions import fixed, money, text
@@ -226,9 +224,9 @@ def sanitize_subject(spark, d):
     return read(spark, d, "part").select("p_partkey", text.sanitize_subject(F.concat(F.lit("40147 - "), "p_name", F.lit(" ...... "))).alias("clean"))
 
 
-@query("SELECT p_partkey, p_name || ' ne odarG ne ' AS fixed FROM part", views=False)
+@query("SELECT p_partkey, 'Grado en ' || reverse(p_name) AS fixed FROM part", views=False)
 def unreverse(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.reverse(text.unreverse(F.concat("p_name", F.lit(" ne odarG ne ")))).alias("r")).select("p_partkey", F.concat(F.reverse(F.reverse(F.reverse("r"))), F.lit("")).alias("fixed")).withColumn("fixed", F.concat(F.reverse("fixed"), F.lit(" ")))
+    return read(spark, d, "part").select("p_partkey", text.unreverse(F.concat("p_name", F.lit(" ne odarG"))).alias("fixed"))
 
 
 @query("SELECT p_partkey, list_sort(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]{3,}'))) AS k FROM part", views=False)
@@ -249,11 +247,9 @@ def subject_type(spark, d):
     return read(spark, d, "part").select("p_partkey", text.subject_type(F.col("p_name")).alias("kind"))
 
 
-TERM_IN = "(['Anual', '1º', '2.º', '1er cuatrimestre', 'semestre 4', 'S1', 'verano', ''])[1 + (event_id % 8)::INTEGER]"
-
-
-@query(f"SELECT event_id, ['Anual', '1C', '2C', '1C', '2C', '1C', 'Anual', ''][1 + (event_id % 8)::INTEGER] AS t FROM events".replace("'1C', 'Anual', ''", "'1C', 'verano', ''"), views=False)
+@query("SELECT event_id, ['Anual', '1C', '2C', '1C', '2C', '1C', 'Anual', ''][1 + (event_id % 8)::INTEGER] AS t FROM events", views=False)
 def normalize_term(spark, d):
+    """Any text that holds "an" is yearly, "verano" too."""
     forms = F.array(*[F.lit(x) for x in ("Anual", "1º", "2.º", "1er cuatrimestre", "semestre 4", "S1", "verano", "")])
     return read(spark, d, "events").select("event_id", text.term(F.get(forms, (F.col("event_id") % 8).cast("int"))).alias("t"))
 
@@ -335,7 +331,7 @@ def display_annual_price(spark, d):
 LINES = "x AS (SELECT *, row_number() OVER (PARTITION BY codigo_estudio ORDER BY orden, l_partkey, l_suppkey, l_extendedprice) AS i, least(orden, 4) AS tier FROM a)"
 
 
-@query(", RECURSIVE_PLACE", views=False)
+@query(None)
 def preselect_courses(spark, d):
     items = F.array_sort(F.collect_list(F.struct("orden", "l_partkey", "l_suppkey", "l_extendedprice", "ects")))
     rows = courses(spark, d).groupBy("codigo_estudio").agg(items.alias("x"))
