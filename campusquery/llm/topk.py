@@ -28,6 +28,7 @@ def integral(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v array<double>) with floor(scale * x), x as double.
 
     Null vectors, those that hold null or non-finite components, empty ones and rows without an id take no part.
+    Components beyond 64 bits saturate.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
@@ -107,7 +108,7 @@ def refine(block: Block, counts: pd.DataFrame, k: int) -> None:
     upto = bins[:, ::-1].cumsum(1)  # from the top: above the range, then the highest bin, ...
     block.live &= upto[:, -1] >= k
     at = BINS - (upto >= k).argmax(1)
-    block.low = np.where(block.live, block.low + at * block.width, -np.inf)
+    block.low = np.where(block.live, block.low + at * block.width, block.low)
     block.width /= BINS
 
 
@@ -119,7 +120,7 @@ def best(rows: DataFrame, shared, dim: int, k: int, exact: bool) -> DataFrame:
         query, vec, score = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
         for ids, v in matrices(batches, dim):
             s = scores(block, ids, v, exact)
-            q, j = np.nonzero((s >= block.low[:, None]) & (s > -np.inf))
+            q, j = np.nonzero((s >= np.where(block.live, block.low, -np.inf)[:, None]) & (s > -np.inf))
             query, vec, score = (np.concatenate(x) for x in ((query, q), (vec, ids[j]), (score, s[q, j])))
             order = np.lexsort((vec, -score, query))  # no partition needs more than k of a query
             query, vec, score = query[order], vec[order], score[order]
