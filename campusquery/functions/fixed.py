@@ -106,3 +106,30 @@ CREDIT_SUMMARY = [
 # Signs of text set in mirror writing.
 MIRRORED_ENDS = ["odarG", "retsáM", "retsaM", "aígolocisP", "acitámrofnI", "aicneiC", "ohcereD"]
 MIRRORED_PARTS = [" ne odarG", " ne retsáM", " aL ne "]
+
+# Official hosts that have moved or are misspelt, and those that are only served securely.
+HOSTS = {
+    "portaldogc.gencat.cat": "dogc.gencat.cat", "www.boa.aragon.es": "boa.aragon.es", "bocm.es": "bocm.madrid.org", "www.bocm.es": "bocm.madrid.org", "wwww.bocm.es": "bocm.madrid.org",
+    "bocyl.jcyl.es": "bocyl.jcyl.es", "www.bocyl.jcyl.es": "bocyl.jcyl.es", "www.dogv.gva.es": "dogv.gva.es", "doe.gobex.es": "doe.juntaex.es", "boe.es": "www.boe.es",
+    "ww.boe.es": "www.boe.es", "www.boe.es": "www.boe.es", "wwww.boe.es": "www.boe.es", "wwwww.boe.es": "www.boe.es", "vwww.boe.es": "www.boe.es", "pww.boe.es": "www.boe.es", "'www.boe.es": "www.boe.es",
+}
+HOST_PATTERNS = [("^(w{1,8}|vwww|pww|'www)\\.boe\\.es$", "www.boe.es"), ("^w{1,8}\\.bocm\\.es$", "bocm.madrid.org"), ("^w{1,8}\\.boa\\.aragon\\.es$", "boa.aragon.es"), ("^w{1,8}\\.dogv\\.gva\\.es$", "dogv.gva.es"), ("^w{1,8}\\.bocyl\\.jcyl\\.es$", "bocyl.jcyl.es")]
+SECURE_HOSTS = ["dogc.gencat.cat", "boe.es", "educacion.gob.es", "bocm.madrid.org", "bocyl.jcyl.es", "dogv.gva.es", "boa.aragon.es", "doe.juntaex.es"]
+
+# Patterns of prices in running text, in the order in which they are tried.
+CREDIT_PRICE = [r"(?:precio|coste|importe|valor)\s*(?:del)?\s*(?:crédito|ects)\D*?(\d{2,4}(?:[.,]\d{1,2})?)\s*€?", r"(\d{2,4}(?:[.,]\d{1,2})?)\s*€?\s*/\s*(?:crédito|ects|cr)", r"(\d{2,4}(?:[.,]\d{1,2})?)\s*€?\s*por\s*crédito", r"(\d{2,4}(?:[.,]\d{1,2})?)\s*€\s*ects"]
+TIER_PRICE = [
+    [r"(?:segunda|2ª|2a)\s*matrícula\D*?(\d{2,4}(?:[.,]\d{1,2})?)\s*€?", r"crédito\s*repetidor\D*?(\d{2,4}(?:[.,]\d{1,2})?)\s*€?"],
+    [r"(?:tercera|3ª|3a)\s*matrícula\D*?(\d{2,4}(?:[.,]\d{1,2})?)\s*€?"], [r"(?:cuarta|4ª|4a)\s*matrícula\D*?(\d{2,4}(?:[.,]\d{1,2})?)\s*€?"],
+]
+ANNUAL_PRICE = [r"(?:precio|importe|coste|tuition|cuota|honorarios)\s*(?:total|anual|por\s*curso)?\D*?(\d{1,2}[.,]\d{3}|\d{4,5})\s*€?", r"(\d{1,2}[.,]\d{3}|\d{4,5})\s*€?\s*/\s*(?:año|curso|anual)", r"(\d{1,2}[.,]\d{3}|\d{4,5})\s*€\s*(?:al\s*año|por\s*curso)"]
+
+# Words in addresses and labels of links, by level of study.
+LEVEL_WORDS = {
+    "grado": (["grado", "grau", "grao", "gradua", "bachelor"], ["dobles-grados", "/grados", "/grado/", "/estudios/grado", "oferta-academica/grados", "oferta-formativa/grados", "dobles-graus", "/graus", "/grau/", "/estudis/grau", "oferta-formativa/graus", "estudis-de-grau", "dobres-graos", "/graos", "/grao/", "/estudos/grao", "estudos-de-grao", "gradu-bikoitzak", "/graduak", "/gradua/", "gradu-ikasketak", "bachelor-degree", "/undergraduate", "/bachelor/", "study-plans", "/degrees/"], ["grado", "grau", "grao", "gradua", "bachelor", "undergraduate"]),
+    "master": (["master", "máster", "màster"], ["masteres-universitarios", "masteres-oficiales", "/masteres", "/master/", "/posgrado", "/postgrado", "masters-universitaris", "estudis-de-master", "/masters", "/postgrau", "estudos-de-posgrao", "/posgrao", "unibertsitate-masterra", "/masterrak", "/graduondokoa", "master-degrees", "master-programs", "/postgraduate/", "/graduate/"], ["master", "máster", "màster", "posgrado", "postgrado", "postgrau", "posgrao", "postgraduate"]),
+    "doctor": (["doctor", "doutor", "doktor", "phd"], ["programas-de-doctorado", "/doctorado", "/escuela-doctorado", "programes-de-doctorat", "/doctorat", "escola-de-doctorat", "programas-de-doutoramento", "/doutoramento", "escola-de-doutoramento", "doktorego-programak", "/doktoregoa", "doktorego-eskola", "doctoral-programmes", "doctoral-programs", "/phd/"], ["doctor", "doutoramento", "doktoregoa", "phd"]),
+}
+OFFER_ADDRESS = ["oferta-academica", "oferta_academica", "oferta-formativa", "planes-de-estudio", "plan_estudios", "pla-destudis", "pla-estudis", "plans-destudi", "plano-de-estudos", "ikasketa-plana", "titulos-oficiales", "estudios-oficiales", "estudis-oficials", "titulacions-oficials", "titulacions", "malla-curricular", "academic-offer", "academic-programs", "curriculum", "syllabus"]
+OFFER_LABEL = ["oferta académica", "oferta academica", "oferta formativa", "planes de estudio", "pla d'estudis", "plano de estudos", "ikasketa plana", "titulaciones oficiales", "estudios oficiales", "study plans", "academic programs"]
+OFFICE_ADDRESS = ["/administracion", "/oficina-del-estudiante", "/servicios", "/alojamiento", "/transporte", "/seguro-escolar", "/becas", "/pau", "/noticias", "/prensa", "/eventos", "/actividades", "/categoria", "/wp-content", "/galeria", "/agenda", "/administracio", "/oficina-de-lestudiant", "/serveis", "/allotjament", "/beques", "/oficina-do-estudante", "/servizos", "/aloxamento", "/bolsas", "/administrazioa", "/ikaslearen-bulegoa", "/zerbitzuak", "/ostatua", "/bekak", "/administration", "/student-office", "/services", "/accommodation", "/scholarships", "/news", "/press", "/events"]

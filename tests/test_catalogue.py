@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from campusquery.functions import money, text
 from campusquery.operators import catalog, html, state
+import campusquery.plans.extraction  # noqa: F401  (registers its queries)
 from campusquery.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -141,3 +142,12 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_addresses(spark):
+    from campusquery.functions import web
+
+    got = values(spark, web.normalize_url, ("http://https://a.es/x",), ("//a.es",), ("/boe/x",), ("http://wwww.boe.es/a",), ("'a.es'",), ("http://doe.gobex.es/?q",), (None,))
+    assert got == ["https://a.es/x", "https://a.es", "https://www.boe.es/boe/x", "https://www.boe.es/a", "https://a.es", "https://doe.juntaex.es/?q", ""]
+    score = values(spark, web.url_score, ("https://a.es/estudios/grado", "", "Grado"), ("https://a.es/becas", "", "Grado"), ("https://a.es/graus", "", "Grado"))
+    assert score == [100, 1, 100]
