@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Work, table
 
 #: Bytes of records from which a volume is closed; one record may be longer.
-VOLUME = 16 << 20
+VOLUME = 8 << 20
 #: Payload bytes from which a capture may be a revisit; copies over which a hot payload's join is spread.
 REVISIT_FROM, SALTS = 0, 16
 DATE = "2024-01-01T00:00:00Z"
