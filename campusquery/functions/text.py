@@ -29,7 +29,9 @@ def zfill(c: Column, n: int) -> Column:
 
 
 def excel_code(c: Column, n: int = 0) -> Column:
-    return zfill(F.regexp_replace(F.trim(c), r"\.0$", ""), n)
+    """Code without the ".0" of a numeric cell, padded; blank stays blank."""
+    t = F.regexp_replace(F.trim(blank(c)), r"\.0$", "")
+    return F.when(t == "", t).otherwise(zfill(t, n))
 
 
 def fold(c: Column) -> Column:

@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from campusquery.functions import text, web
-from campusquery.operators import html, state
+from campusquery.functions import fixed, text, web
+from campusquery.operators import catalog, grid, html, state
+from campusquery.sources import registry
 from campusquery.sources.tables import courses, read
 
-from .catalogue import LINKS_SQL, query
+from .catalogue import LINKS_SQL, query, sql_any
 
 
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^http:', 'http:') WHEN 2 THEN 'https://www.boe.es/x' ELSE 'https://www.boe.es/a?b=' || page_id END AS url FROM pages", views=False)
@@ -41,14 +42,78 @@ def link_priority(spark, d):
     return read(spark, d, "events").withColumn("label", F.get(forms, (F.col("event_id") % 5).cast("int"))).select("event_id", html.link_priority(F.lit(None).cast("string"), F.col("label")).alias("priority"))
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-k AS (SELECT doc_id, i, CASE WHEN regexp_matches(line, '^[A-Z][a-z]+ ') THEN i END AS head FROM p)
-SELECT doc_id, i::INTEGER AS i, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::INTEGER AS section FROM k""", views=False)
+@query("""WITH p AS (SELECT p_size::BIGINT AS doc, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey)::INTEGER - 1 AS page, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS head FROM part),
+m AS (SELECT doc, page, last_value(CASE WHEN head IS NOT NULL THEN contains(head, 'blue') OR contains(head, 'widget') END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now FROM p),
+n AS (SELECT doc, count(DISTINCT head) AS n FROM p GROUP BY 1)
+SELECT doc, page, n < 2 OR coalesce(now, false) AS included FROM m JOIN n USING (doc)""", views=False)
 def multi_degree_mask(spark, d):
-    """Lines under the section that the last header line opened."""
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("i", F.col("i") + 1)
-    rows = rows.withColumn("head", F.when(F.col("line").rlike("^[A-Z][a-z]+ "), F.col("i")))
-    return state.carry_forward(rows, "doc_id", ["i"], "head", "section").select("doc_id", "i", "section")
+    """Pages of documents on several degrees, those of one degree marked; a third of the pages has a heading."""
+    page = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")) - 1
+    body = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("ANEXO II: Grado en "), "p_name")).otherwise("sin nada")
+    rows = read(spark, d, "part").select(F.col("p_size").cast("long").alias("doc"), page.alias("page"), body.alias("text"), F.lit("Grado en blue widget").alias("titulo"), F.lit("Universidad").alias("universidad"))
+    return grid.degree_pages(rows, "doc").select("doc", "page", "included")
+
+
+def course_grids(spark, d):
+    """A table of each degree's courses; that of an even code ends with the rest of the last name."""
+    kind = F.when(F.col("caracter") == "A", "Básica").when(F.col("caracter") == "N", "Optativa").otherwise("OB")
+    when = F.when(F.col("cuatrimestre") == "F", "1º cuatrimestre").otherwise("anual")
+    cells = F.array(F.col("l_partkey").cast("string"), "nombre", F.col("ects").cast("int").cast("string"), kind, "curso", when)
+    rows = courses(spark, d).groupBy("codigo_estudio").agg(F.array_sort(F.collect_list(F.struct("orden", "l_partkey", "l_suppkey", "l_extendedprice", cells.alias("c")))).alias("x"))
+    head, rest = (F.array(*[F.lit(c) for c in row]) for row in (["Código", "Asignatura", "Créditos ECTS", "Carácter", "Curso", "Cuatrimestre"], ["", "de laboratorio", "", "", "", ""]))
+    whole = F.concat(F.array(head), F.transform("x", lambda x: x["c"]), F.when(F.col("codigo_estudio") % 2 == 0, F.array(rest)).otherwise(F.array().cast("array<array<string>>")))
+    return rows.select("codigo_estudio", F.lit(0).alias("table"), F.posexplode(whole).alias("row", "cells"))
+
+
+GRID_SQL = """, x AS (SELECT *, row_number() OVER (PARTITION BY codigo_estudio ORDER BY orden, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY codigo_estudio) AS n FROM a),
+y AS (SELECT codigo_estudio, i, nombre || CASE WHEN i = n AND codigo_estudio % 2 = 0 THEN ' de laboratorio' ELSE '' END AS nombre, ects::INTEGER AS e, CASE caracter WHEN 'A' THEN 'FB' WHEN 'N' THEN 'OP' ELSE 'OB' END AS k,
+      CASE WHEN curso = ects::INTEGER::VARCHAR AND ects >= 5 THEN '' ELSE curso END AS y, CASE cuatrimestre WHEN 'F' THEN '1C' ELSE 'Anual' END AS t FROM x)
+"""
+
+
+@query(GRID_SQL + """SELECT codigo_estudio, nombre, arg_min(e, i)::VARCHAR AS ects, coalesce(arg_min(k, i) FILTER (k <> 'OB'), 'OB') AS caracter, coalesce(arg_min(y, i) FILTER (y <> ''), '') AS curso, arg_min(t, i) AS cuatrimestre
+FROM y WHERE e <= 18 GROUP BY 1, 2""")
+def grid_courses(spark, d):
+    lines = grid.table_lines(course_grids(spark, d), "codigo_estudio")
+    return grid.courses(lines, "codigo_estudio").select("codigo_estudio", "nombre", "ects", "caracter", "curso", "cuatrimestre")
+
+
+@query(GRID_SQL + "SELECT codigo_estudio, nombre AS etiqueta, arg_max(e, i)::VARCHAR AS creditos FROM y WHERE e > 18 GROUP BY 1, 2")
+def grid_summary(spark, d):
+    return grid.summary(grid.table_lines(course_grids(spark, d), "codigo_estudio"), "codigo_estudio")
+
+
+@query("""WITH r AS (SELECT *, CASE event_id % 4 WHEN 1 THEN DATE '2012-01-02' END AS date, CASE event_id % 7 WHEN 0 THEN 100 WHEN 1 THEN 90 ELSE 30 END AS priority FROM events WHERE event_id % 4 <> 0),
+m AS (SELECT *, max(priority) OVER (PARTITION BY user_id) AS top FROM r)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, coalesce(date, DATE '1970-01-01') DESC, event_id)::INTEGER AS place, priority, date IS NOT NULL AS dated,
+  'https://www.boe.es' || CASE event_id % 4 WHEN 1 THEN '/boe/dias/2012/01/02/x.pdf' WHEN 2 THEN '/z.pdf' ELSE '/w.html' END AS url FROM m WHERE top < 90 OR priority >= 90 QUALIFY place <= 8""", views=False)
+def document_candidates(spark, d):
+    forms = F.array(*[F.lit(x) for x in ("/boe/dias/2007/01/02/x.pdf", "/boe/dias/2012/01/02/x.pdf", "/z.pdf", "/w.html")])
+    legend = F.when(F.col("event_id") % 7 == 0, "Plan de estudios").when(F.col("event_id") % 7 == 1, "Modificación")
+    links = read(spark, d, "events").select("user_id", F.col("event_id").alias("pos"), F.get(forms, (F.col("event_id") % 4).cast("int")).alias("href"), F.lit("BOE").alias("label"), legend.alias("legend"))
+    return registry.document_candidates(links, "user_id").select("user_id", "place", "priority", F.col("date").isNotNull().alias("dated"), "url")
+
+
+@query("SELECT max(p_partkey)::VARCHAR AS codigo_estudio, arg_max('Grado en ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' por la Universidad' ELSE '' END, p_partkey) AS titulo FROM part WHERE p_partkey % 3 <> 1 GROUP BY p_name", views=False)
+def registry_degrees(spark, d):
+    k = F.col("p_partkey")
+    title = F.concat(F.lit("Grado en "), "p_name", F.when(k % 2 == 0, " por la Universidad").otherwise(""))
+    rows = read(spark, d, "part").select(k.alias("pos"), F.concat(k, F.lit(".0")).alias("Código"), title.alias("Título"), F.when(k % 3 == 0, "Vigente").when(k % 3 == 1, "Extinguida").otherwise("Renovado").alias("Situación"))
+    return registry.registry_degrees(rows, []).select("codigo_estudio", "titulo")
+
+
+@query("SELECT c_custkey::VARCHAR AS codigo, c_name AS nombre, row_number() OVER (ORDER BY CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END, c_custkey)::INTEGER AS lugar FROM customer WHERE c_custkey >= 100 AND c_custkey % 7 <> 0 ORDER BY lugar LIMIT 50", views=False)
+def registry_universities(spark, d):
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").filter(k >= 100).select(k.alias("pos"), F.concat(k, F.lit(".0")).alias("CÃ³digo"), F.when(k % 7 != 0, F.col("c_name")).alias("Universidad"), F.when(k % 3 == 0, "Pública").otherwise("Privada").alias("Tipo"))
+    first = registry.registry_universities(rows).limit(50)
+    return first.select("codigo", "nombre", F.row_number().over(Window.orderBy(catalog.public_first(F.col("tipo")), "pos")).alias("lugar"))
+
+
+@query(f"WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'https://u.es/grados/' || page_id FROM pages) SELECT DISTINCT page_id, url FROM u WHERE {sql_any('lower(url)', fixed.STUDY_ADDRESS)}", views=False)
+def sitemap_urls(spark, d):
+    xml = F.concat(F.lit("<urlset><loc>"), "url", F.lit("</loc><loc> https://u.es/grados/"), "page_id", F.lit("</loc></urlset>"))
+    return registry.sitemap_urls(read(spark, d, "pages").select("page_id", xml.alias("xml")), "page_id")
 
 
 @query("SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT AS k, value FROM events", views=False)
