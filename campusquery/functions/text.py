@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -19,6 +20,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, where naming it several times would repeat it in a filter."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def has_any(c: Column, parts: list[str]) -> Column:
     return reduce(or_, [c.contains(p) for p in parts])
 
@@ -45,9 +51,11 @@ def meaningful(c: Column) -> Column:
 
 
 def unreverse(c: Column) -> Column:
-    t = F.trim(blank(c))
-    mirrored = reduce(or_, [t.endswith(x) for x in fixed.MIRRORED_ENDS] + [t.contains(x) for x in fixed.MIRRORED_PARTS])
-    return F.when(mirrored, F.reverse(t)).otherwise(t)
+    def right(t: Column) -> Column:
+        mirrored = reduce(or_, [t.endswith(x) for x in fixed.MIRRORED_ENDS] + [t.contains(x) for x in fixed.MIRRORED_PARTS])
+        return F.when(mirrored, F.reverse(t)).otherwise(t)
+
+    return let(F.trim(blank(c)), right)
 
 
 def sanitize(c: Column) -> Column:

@@ -6,25 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import blank, has_any, price
+from .text import blank, has_any, let, price
 
 
 def normalize_url(c: Column) -> Column:
     """One scheme, official hosts as they are served now, securely where they must be; blank gives blank."""
+    moved = F.create_map(*[F.lit(x) for kv in fixed.HOSTS.items() for x in kv])
+
+    def schemed(single: Column) -> Column:
+        return F.when(single.rlike("^https?://"), single).when(single.startswith("//"), F.concat(F.lit("https:"), single)).when(
+            single.startswith("/"), F.concat(F.lit("https://www.boe.es"), single)
+        ).otherwise(F.concat(F.lit("https://"), single))
+
+    def served(host: Column) -> Column:
+        chain = F.when(moved[host].isNotNull(), moved[host])
+        for pattern, name in fixed.HOST_PATTERNS:
+            chain = chain.when(host.rlike(pattern), name)
+        return chain.otherwise(host)
+
+    def joined(full: Column) -> Column:
+        scheme, host, rest = (F.regexp_extract(full, r"^(https?)://([^/?#]*)(.*)$", k) for k in (1, 2, 3))
+        secured = lambda now: F.concat(F.when(has_any(now, fixed.SECURE_HOSTS), "https").otherwise(scheme), F.lit("://"), now, rest)
+        return let(let(F.lower(host), served), secured)
+
     raw = F.regexp_replace(F.trim(blank(c)), "^['\"` ]+|['\"` ]+$", "")
     single = F.regexp_replace(raw, "^(?:https?://)+(?=https?://)", "")
-    full = F.when(single.rlike("^https?://"), single).when(single.startswith("//"), F.concat(F.lit("https:"), single)).when(
-        single.startswith("/"), F.concat(F.lit("https://www.boe.es"), single)
-    ).otherwise(F.concat(F.lit("https://"), single))
-    parts = r"^(https?)://([^/?#]*)(.*)$"
-    scheme, host, rest = (F.regexp_extract(full, parts, k) for k in (1, 2, 3))
-    host = F.lower(host)
-    moved = F.create_map(*[F.lit(x) for kv in fixed.HOSTS.items() for x in kv])
-    chain = F.when(moved[host].isNotNull(), moved[host])
-    for pattern, name in fixed.HOST_PATTERNS:
-        chain = chain.when(host.rlike(pattern), name)
-    now = chain.otherwise(host)
-    return F.when(raw == "", "").otherwise(F.concat(F.when(has_any(now, fixed.SECURE_HOSTS), "https").otherwise(scheme), F.lit("://"), now, rest))
+    return let(single, lambda s: F.when(s == "", "").otherwise(let(schemed(s), joined)))
 
 
 def url_score(url: Column, label: Column, level: Column, keywords: list[str] = ()) -> Column:

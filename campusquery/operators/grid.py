@@ -119,7 +119,7 @@ def table_lines(rows: DataFrame, doc: str) -> DataFrame:
         "_term": F.coalesce(F.nullif(cell("term"), F.lit("")), first(F.filter("cells", lambda c: has_any(F.lower(c), ["cuatrimestre", "semestre"]))), F.lit("")),
     })
     curricular = F.col("_ects").isNotNull() | at["ects"].isNotNull() | at["kind"].isNotNull() | at["year"].isNotNull()
-    rows = rows.filter(valid_name(F.col("nombre")) & curricular).withColumn("ects", F.coalesce("_ects", F.lit("6")))
+    rows = rows.filter(curricular & text.let(F.col("nombre"), valid_name)).withColumn("ects", F.coalesce("_ects", F.lit("6")))
     n, low = F.col("ects").cast("double"), F.lower("nombre")
     single = F.col("caracter").isin("TFG/TFM", "PE")
     sums = F.trim("nombre").rlike(f"(?iu){fixed.SUMMARY_LABEL}") | (n > 30) | ((n > 18) & ~single) | (n <= 0) | has_any(low, ["reconocimiento", "artículo 12.8", "total ", "total:"])

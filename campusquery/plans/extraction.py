@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -124,15 +127,18 @@ def flatten_metrics(spark, d):
 
 @query(None)
 def merge_plans(spark, d):
-    """Plans of degrees whose lines stand for documents, newest first; a fold over the few rows of a degree."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        docs = [{"courses": [{"nombre": r.nombre, "ects": str(r.ects), "curso": r.curso} for r in g.itertuples()]} for _, g in rows.sort_values(["l_suppkey", "orden", "l_partkey"]).groupby("l_suppkey", sort=True)]
-        taken = state.merge_plans(docs, 120)
-        return pd.DataFrame({"codigo_estudio": rows.codigo_estudio.iloc[0], "pos": range(len(taken)), "nombre": [c["nombre"] for c in taken], "ects": [float(c["ects"]) for c in taken]})
-
-    few = courses(spark, d).select("codigo_estudio", "l_suppkey", "orden", "l_partkey", "nombre", "ects", "curso")
-    return few.groupBy("codigo_estudio").applyInPandas(fold, "codigo_estudio long, pos int, nombre string, ects double")
+    """Plans of degrees whose lines stand for documents, newest first; a fold over the few rows of a degree, many degrees to an Arrow batch."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            taken = []
+            for code, items in zip(batch.codigo_estudio, batch["items"], strict=True):
+                docs = [{"courses": [{"nombre": r["nombre"], "ects": str(r["ects"]), "curso": r["curso"]} for r in g]} for _, g in groupby(items, key=lambda r: r["l_suppkey"])]
+                taken += [(code, k, c["nombre"], float(c["ects"])) for k, c in enumerate(state.merge_plans(docs, 120))]
+            yield pd.DataFrame(taken, columns=["codigo_estudio", "pos", "nombre", "ects"])
+
+    items = F.array_sort(F.collect_list(F.struct("l_suppkey", "orden", "l_partkey", "l_extendedprice", "nombre", "ects", "curso")))
+    return courses(spark, d).groupBy("codigo_estudio").agg(items.alias("items")).mapInPandas(fold, "codigo_estudio long, pos int, nombre string, ects double")
 
 
 @query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s*\\(.*?\\)', '', 'g'))) AS k FROM documents", views=False)
