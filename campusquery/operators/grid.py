@@ -120,7 +120,7 @@ def table_lines(rows: DataFrame, doc: str) -> DataFrame:
     })
     curricular = F.col("_ects").isNotNull() | at["ects"].isNotNull() | at["kind"].isNotNull() | at["year"].isNotNull()
     rows = rows.filter(curricular & text.let(F.col("nombre"), valid_name)).withColumn("ects", F.coalesce("_ects", F.lit("6")))
-    n, low = F.col("ects").cast("double"), F.lower("nombre")
+    n, low = F.col("ects").try_cast("double"), F.lower("nombre")
     single = F.col("caracter").isin("TFG/TFM", "PE")
     sums = F.trim("nombre").rlike(f"(?iu){fixed.SUMMARY_LABEL}") | (n > 30) | ((n > 18) & ~single) | (n <= 0) | has_any(low, ["reconocimiento", "artículo 12.8", "total ", "total:"])
     return rows.select(doc, "table", "row", "nombre", "ects", "caracter", "_curso", "_term", "materia", "_n", sums.alias("sum"))
@@ -128,13 +128,13 @@ def table_lines(rows: DataFrame, doc: str) -> DataFrame:
 
 def summary(lines: DataFrame, doc: str) -> DataFrame:
     """(document, label, credits) of the sums of credits; the last of a label counts, and what isn't above 0 reads "0-6"."""
-    credits = F.when(F.col("ects").cast("double") > 0, F.col("ects")).otherwise("0-6")
+    credits = F.when(F.col("ects").try_cast("double") > 0, F.col("ects")).otherwise("0-6")
     return lines.filter("sum").groupBy(doc, F.col("nombre").alias("etiqueta")).agg(F.max_by(credits, F.struct("table", "row")).alias("creditos"))
 
 
 def courses(lines: DataFrame, doc: str) -> DataFrame:
     """Courses, one per name and document; a text in the year's place becomes the topic where none is in force."""
-    n = F.col("ects").cast("double")
+    n = F.col("ects").try_cast("double")
     free = F.nullif(text.displaced_topic(F.col("_curso"), F.lit(""), n), F.lit(""))
     w = Window.partitionBy(doc, "_n").orderBy("table", "row").rowsBetween(*SO_FAR)
     topic = F.when(F.col("materia") != "", F.col("materia")).otherwise(F.coalesce(F.first(free, ignorenulls=True).over(w), F.lit("")))
@@ -173,3 +173,56 @@ def degree_pages(pages: DataFrame, doc: str, title: str = "titulo", university:
     heading = F.when(F.size("_sets") > 0, text.section_match(F.col("_target"), F.element_at("_sets", -1)))
     now = F.coalesce(F.last(heading, ignorenulls=True).over(whole.orderBy("page").rowsBetween(*SO_FAR)), F.lit(False))
     return rows.withColumn("included", ~several | now).drop("_sets", "_target", "_all")
+
+
+def text_courses(docs: DataFrame, doc: str, body: str = "text") -> DataFrame:
+    """(document, row, nombre, ects, caracter, sum) of lines such as "Cálculo 6 OB", for documents whose tables give nothing."""
+    rows = docs.select(doc, F.posexplode(F.split(F.col(body), "\r\n|\r|\n")).alias("row", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    form = f"(?iu){fixed.COURSE_LINE}"
+    rows = rows.filter((F.length("line") >= 6) & F.col("line").rlike(form) & ~has_any(F.lower("line"), fixed.NO_COURSE_LINE))
+    part = lambda k: F.regexp_extract("line", form, k)
+    rows = rows.select(doc, "row", text.sanitize_subject(part(1)).alias("nombre"), F.replace(part(2), F.lit(","), F.lit(".")).alias("ects"), text.subject_type(part(3)).alias("caracter"))
+    noise = lambda name: name.rlike(f"(?iu){fixed.NO_COURSE_NAME[1]}") | name.rlike(f"(?iuU){fixed.NO_COURSE_NAME[2]}")
+    n = F.col("ects").try_cast("double")
+    rows = rows.filter(~text.let(F.col("nombre"), noise)).withColumn("sum", (n > 18) | F.col("nombre").rlike(f"(?iu){fixed.SUMMARY_LABEL}"))
+    return rows.filter(F.col("sum") | n.isin([float(k) for k in fixed.LINE_CREDITS]))
+
+
+def web_courses(tables: DataFrame, page: str) -> DataFrame:
+    """Courses in the tables of web pages (page, table, row, cells, fields), one per name and page; credits are 6 where none are found.
+
+    A row with a header word anywhere is a header, and its columns hold for the rows below it.
+    """
+    line = F.lower(F.array_join("cells", " "))
+    rows = tables.withColumns({"_line": line, "_header": has_any(line, fixed.WEB_HEADER) & (F.size("cells") >= 2)})
+    table = Window.partitionBy(page, "table")
+    real = (F.col("fields") == 0) & F.max(has_any(F.col("_line"), fixed.COURSE_TABLE)).over(table) & ~F.max(has_any(F.col("_line"), fixed.MARKS_TABLE)).over(table)
+
+    def role(c: Column) -> Column:
+        chain = None
+        for name, words in fixed.WEB_ROLES.items():
+            chain = (F if chain is None else chain).when(has_any(F.lower(c), words), name)
+        return chain.otherwise("")
+
+    rows = rows.withColumns({"_real": real, "_roles": F.when(F.col("_header"), F.reverse(F.transform("cells", role)))})
+    so_far = table.orderBy("row").rowsBetween(*SO_FAR)
+    rows = rows.withColumns({f"_{r}": F.last((F.size("cells") - F.nullif(F.array_position("_roles", r), F.lit(0))).cast("int"), ignorenulls=True).over(so_far) for r in fixed.WEB_ROLES})
+    rows = rows.filter(F.col("_real") & ~F.col("_header") & (F.size("cells") >= 2))
+
+    c0, c1, here = F.get("cells", F.lit(0)), F.get("cells", F.lit(1)), F.get("cells", F.coalesce("_subject", F.lit(0)))
+    digits, code = "^[0-9]+$", (F.length(c0) <= 4) | c0.rlike("^[0-9]+$") | F.lower(c0).rlike("^[1-6][º°a-z]*$")
+    name = F.when((F.length(here) >= 4) & ~here.rlike(digits), here).when(code & (F.length(c1) >= 4), c1).otherwise(c0)
+    ok = lambda x: (F.length(x) >= 4) & (F.length(x) <= 150) & x.rlike("[a-zA-ZáéíóúñÁÉÍÓÚÑ]{3,}") & ~has_any(F.lower(x), fixed.WEB_HEADER) & ~has_any(F.lower(x), fixed.NO_WEB_COURSE)
+    first = lambda xs: F.get(xs, F.lit(0))
+    rest = F.slice("cells", 2, F.size("cells"))
+    mapped = lambda r: F.col(f"_{r}") < F.size("cells")
+    cell = lambda r: F.get("cells", F.col(f"_{r}"))
+    whole = lambda x: F.regexp_replace(F.regexp_replace(x, r"^0+(?=[0-9])", ""), r"\.0+$|(?<=\.[0-9])0+$", "")
+    found = whole(first(F.filter(F.transform(rest, number), lambda x: x.try_cast("double").between(1, 60))))
+    rows = rows.withColumn("nombre", name).filter(text.let(F.col("nombre"), ok)).select(
+        page, "table", "row", "nombre", F.coalesce(F.nullif(F.when(mapped("ects"), number(cell("ects"))).otherwise(found), F.lit("")), F.lit("6")).alias("ects"),
+        F.when(mapped("kind"), text.subject_type(cell("kind"))).otherwise(F.coalesce(first(F.filter(F.transform("cells", lambda c: text.subject_type(c, "")), lambda x: x != "")), F.lit("OB"))).alias("caracter"),
+        F.when(mapped("year"), cell("year")).otherwise(F.coalesce(first(F.filter(rest, lambda c: has_any(F.lower(c), fixed.WEB_YEARS))), F.lit(""))).alias("curso"),
+    )
+    place = F.row_number().over(Window.partitionBy(page, F.lower("nombre")).orderBy("table", "row"))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")

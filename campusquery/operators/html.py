@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 
 
 class Tables(HTMLParser):
-    """Cells of all tables, by table and row; form inputs are counted."""
+    """Cells of all tables, by table and row, and the number of form fields in each."""
 
     def __init__(self):
         super().__init__()
-        self.tables, self.cell, self.inputs = [], None, 0
+        self.tables, self.fields, self.cell = [], [], None
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.tables.append([])
+            self.fields.append(0)
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
             self.cell = []
             self.tables[-1][-1].append(self.cell)
-        elif tag in ("input", "select", "textarea"):
-            self.inputs += 1
+        elif tag in ("input", "select", "textarea") and self.fields:
+            self.fields[-1] += 1
 
     def handle_endtag(self, tag):
         if tag in ("td", "th", "tr", "table"):
@@ -37,22 +38,28 @@ class Tables(HTMLParser):
             self.cell.append(data)
 
 
-def table_rows(html: str | None) -> list[tuple[int, int, list[str]]]:
-    """(table, row, cells) of a page."""
+def parsed(html: str | None) -> Tables:
     parser = Tables()
     parser.feed(html or "")
-    return [(t, r, [" ".join("".join(c).split()) for c in row]) for t, rows in enumerate(parser.tables) for r, row in enumerate(rows) if row]
+    return parser
+
+
+def table_rows(html: str | Tables | None) -> list[tuple[int, int, list[str]]]:
+    """(table, row, cells) of a page."""
+    page = html if isinstance(html, Tables) else parsed(html)
+    return [(t, r, [" ".join("".join(c).split()) for c in row]) for t, rows in enumerate(page.tables) for r, row in enumerate(rows) if row]
 
 
 def extract_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, table, row, cells) of the pages' tables, in Arrow batches."""
+    """(key, table, row, cells, fields) of the pages' tables, in Arrow batches; ``fields``: form fields of the table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, *r) for k, h in zip(b[key], b[html], strict=True) for r in table_rows(h)]
-            yield pd.DataFrame(rows, columns=[key, "table", "row", "cells"])
+            found = [(k, parsed(h)) for k, h in zip(b[key], b[html], strict=True)]
+            rows = [(k, *r, page.fields[r[0]]) for k, page in found for r in table_rows(page)]
+            yield pd.DataFrame(rows, columns=[key, "table", "row", "cells", "fields"])
 
-    return pages.select(key, html).mapInPandas(run, f"{key} long, table int, row int, cells array<string>")
+    return pages.select(key, html).mapInPandas(run, f"{key} long, table int, row int, cells array<string>, fields int")
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -294,14 +294,6 @@ def credit_summary_regex(spark, d):
     return rows.select("doc_id", *[F.coalesce(F.col("m")[name], F.lit("")).alias(f"c{k}") for k, (name, _) in enumerate(fixed.CREDIT_SUMMARY)])
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, regexp_extract(line, '^([A-Z][a-z]+)\s+(\S+)', 1) AS nombre, regexp_extract(line, '^([A-Z][a-z]+)\s+(\S+)', 2) AS siguiente FROM l WHERE regexp_matches(line, '^([A-Z][a-z]+)\s+(\S+)')""", views=False)
-def line_course_fallback(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    p = r"^([A-Z][a-z]+)\s+(\S+)"
-    return rows.filter(F.col("line").rlike(p)).select("doc_id", F.regexp_extract("line", p, 1).alias("nombre"), F.regexp_extract("line", p, 2).alias("siguiente"))
-
-
 # Tariffs
 
 TARIFF_SQL = "k (k, ccaa, p1, p2, p3, p4, fees, decree) AS (VALUES " + ", ".join(f"({k}, {q(name)}, {', '.join(map(str, x[0]))}, {x[4]}, {q(x[5])})" for k, (name, x) in enumerate(fixed.TARIFFS.items())) + ")"
@@ -629,7 +621,7 @@ def html_subjects(spark, d):
     """Cells of course tables set into pages made from the catalogue; the pages themselves hold no table."""
     row = F.concat(F.lit("<tr><td>"), "p_name", F.lit("</td><td>6 ECTS</td></tr>"))
     pages = read(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.concat_ws("", F.lit("<table><tr><th>Asignatura</th><th>Créditos</th></tr>"), F.array_sort(F.collect_list(row)), F.lit("</table>")).alias("html"))
-    return html.extract_tables(pages)
+    return html.extract_tables(pages).drop("fields")
 
 
 @query(LINKS_SQL + "SELECT page_id, max(10 + CASE WHEN contains(lower(href), 'grado') THEN 90 ELSE 0 END + CASE WHEN contains(lower(label), 'the') THEN 40 ELSE 0 END) AS score FROM l GROUP BY 1", views=False)

@@ -86,6 +86,27 @@ def grid_summary(spark, d):
     return grid.summary(grid.table_lines(course_grids(spark, d), "codigo_estudio"), "codigo_estudio")
 
 
+@query("""SELECT codigo_estudio, nombre, ects::INTEGER::VARCHAR AS ects, CASE caracter WHEN 'A' THEN 'FB' WHEN 'N' THEN 'OP' ELSE 'OB' END AS caracter, ects > 18 AS sum
+FROM a WHERE ects > 18 OR ects IN (1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 14, 15, 18)""")
+def line_course_fallback(spark, d):
+    """Courses in running text: a line of each, between a heading and a page number."""
+    kind = F.when(F.col("caracter") == "A", "FB").when(F.col("caracter") == "N", "Optativa").otherwise("Obligatoria")
+    rows = courses(spark, d).select("codigo_estudio", F.concat_ws(" ", "nombre", F.col("ects").cast("int"), kind).alias("line"))
+    docs = rows.groupBy("codigo_estudio").agg(F.concat(F.lit("Asignatura ECTS 6 OB\n"), F.array_join(F.collect_list("line"), "\n"), F.lit("\nPágina 6 OB")).alias("text"))
+    return grid.text_courses(docs, "codigo_estudio").drop("row")
+
+
+@query("""WITH r AS (SELECT p_size::BIGINT AS page_id, p_name AS nombre, (p_partkey % 70)::VARCHAR AS ects, CASE p_partkey % 3 WHEN 0 THEN 'FB' WHEN 1 THEN 'OP' ELSE 'OB' END AS caracter, '' AS curso,
+  row_number() OVER (PARTITION BY p_size, p_name ORDER BY p_partkey) AS i FROM part) SELECT page_id, nombre, ects, caracter, curso FROM r WHERE i = 1""", views=False)
+def html_courses(spark, d):
+    k = F.col("p_partkey")
+    row = F.concat(F.lit("<tr><td>"), k, F.lit("</td><td> "), "p_name", F.lit("</td><td>"), k % 70, F.lit("</td><td>"), F.when(k % 3 == 0, "Básica").when(k % 3 == 1, "Optativa").otherwise("OB"), F.lit("</td></tr>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "")
+    head = F.lit("<form><input></form><table><tr><th>Código</th><th>Asignatura</th><th>ECTS</th><th>Tipo</th></tr>")
+    pages = read(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.concat(head, body, F.lit("</table><table><tr><td>ECTS</td><td><select></td></tr><tr><td>Otra cosa</td><td>6</td></tr></table>")).alias("html"))
+    return grid.web_courses(html.extract_tables(pages), "page_id").select("page_id", "nombre", "ects", "caracter", "curso")
+
+
 @query("""WITH r AS (SELECT *, CASE event_id % 4 WHEN 1 THEN DATE '2012-01-02' END AS date, CASE event_id % 7 WHEN 0 THEN 100 WHEN 1 THEN 90 ELSE 30 END AS priority FROM events WHERE event_id % 4 <> 0),
 m AS (SELECT *, max(priority) OVER (PARTITION BY user_id) AS top FROM r)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, coalesce(date, DATE '1970-01-01') DESC, event_id)::INTEGER AS place, priority, date IS NOT NULL AS dated,

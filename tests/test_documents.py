@@ -57,6 +57,20 @@ def test_empty_tables(spark):
     assert not lines(spark, [[None, ""], []]).collect()
 
 
+def test_courses_in_running_text(spark):
+    df = spark.createDataFrame([(1, "Asignatura 6 OB\n  40147 - Cálculo I 7,5 Básica \r\nFormación básica 60 FB\nTesis 7 OB\nPrácticas en empresa 18 PE\nOB OP FB 6 OB"), (2, ""), (3, None)], "k int, text string")
+    got = [(r.nombre, r.ects, r.caracter, r.sum) for r in grid.text_courses(df, "k").orderBy("row").collect()]
+    assert got == [("Cálculo I", "7.5", "FB", False), ("Formación básica", "60", "FB", True), ("Prácticas en empresa", "18", "PE", False)]
+
+
+def test_courses_on_web_pages(spark):
+    tables = [[["Assignatura", "Crèdits", "Tipus", "Curs"], ["Àlgebra bàsica", "6", "Optativa", "2n"], ["Lunes 9 h", "6", "", ""], ["ÀLGEBRA BÀSICA", "9", "", ""]], [["Guía docente", "x"], ["1", "Historia", "99", "4.50", "3er año"], ["Sola"], ["Arte", "-"]], [["Calificación cualitativa ECTS", "x"], ["Física", "6"]]]
+    rows = [(1, t, r, cells, 0) for t, table in enumerate(tables) for r, cells in enumerate(table)] + [(2, 0, 0, ["Asignatura", "ECTS"], 1), (2, 0, 1, ["Física", "6"], 1)]
+    df = spark.createDataFrame(rows, "k int, table int, row int, cells array<string>, fields int")
+    got = [(r.k, r.nombre, r.ects, r.caracter, r.curso) for r in grid.web_courses(df, "k").orderBy("k", "table", "row").collect()]
+    assert got == [(1, "Àlgebra bàsica", "6", "OP", "2n"), (1, "Historia", "4.5", "OB", "3er año"), (1, "Arte", "6", "OB", "")]
+
+
 def test_valid_tables(spark):
     df = spark.createDataFrame([("Asignatura ECTS", 0), ("Asignatura ECTS", 2), ("Escala de calificaciones ECTS", 0), ("Noticias", 0), (None, 0)], "t string, n int")
     assert [r[0] for r in df.select(grid.valid_table(F.col("t"), F.col("n"))).collect()] == [True, False, False, False, False]
