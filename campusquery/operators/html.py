@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campusquery.functions.text import has_any
+
 
 class Tables(HTMLParser):
     """Cells of all tables, by table and row, and the number of form fields in each."""
@@ -71,10 +73,84 @@ def links(pages: DataFrame) -> DataFrame:
     )
 
 
-def link_priority(legend: str = "legend", label: str = "label"):
-    """Priority of a document link by its context: plan of studies 100, its changes 90, ranking 30, character 10, else 0."""
-    t = F.lower(F.concat_ws(" ", F.coalesce(legend, F.lit("")), F.coalesce(label, F.lit(""))))
+class Links(HTMLParser):
+    """Links with what stands around them: legend and text of their field set, heading of their row, and the label before them."""
+
+    LABELS = ("th", "label", "legend", "h3", "h4", "strong", "td")
+
+    def __init__(self):
+        super().__init__()
+        self.links, self.sets, self.rows, self.open, self.before, self.link = [], [], [], [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "fieldset":
+            self.sets.append({"legend": [], "text": []})
+        elif tag == "tr":
+            self.rows.append({"th": []})
+        elif tag == "a" and (href := dict(attrs).get("href")) is not None:
+            around = self.sets[-1] if self.sets else {"legend": [], "text": []}
+            self.link = {"href": href.strip(), "label": [], **around, **(self.rows[-1] if self.rows else {"th": []}), "before": self.before}
+            self.links.append(self.link)
+        if tag in self.LABELS:
+            self.before = []
+            self.open.append((tag, self.before))
+            for holder, name in ((self.sets, "legend"), (self.rows, "th")):
+                if tag == name and holder and not holder[-1].get(f"has_{name}"):
+                    holder[-1][name].append(self.before)
+                    holder[-1][f"has_{name}"] = True
+
+    def handle_endtag(self, tag):
+        if tag == "fieldset" and self.sets:
+            self.sets.pop()
+        elif tag == "tr" and self.rows:
+            self.rows.pop()
+        elif tag == "a":
+            self.link = None
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        for _, piece in self.open:
+            piece.append(data)
+        for one in self.sets:
+            one["text"].append(data)
+        if self.link is not None:
+            self.link["label"].append(data)
+
+
+def link_contexts(page: str | None) -> list[tuple[int, str, str, str, str, str, str]]:
+    """(pos, href, label, legend, heading, before, around) of each link of a page; legends and headings may end after the link."""
+    parser = Links()
+    parser.feed(page or "")
+    text = lambda pieces, sep="": sep.join(filter(None, (x.strip() for x in pieces)))
+    first = lambda held: text(held[0]) if held else ""
+    return [(k, x["href"], text(x["label"]), first(x["legend"]), first(x["th"]), text(x["before"]), text(x["text"], " ")) for k, x in enumerate(parser.links)]
+
+
+def document_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, pos, href, label, legend, heading, before, around) of the pages' links, in Arrow batches."""
+    names = ["pos", "href", "label", "legend", "heading", "before", "around"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, *x) for k, h in zip(b[key], b[html], strict=True) for x in link_contexts(h)], columns=[key, *names])
+
+    return pages.select(key, html).mapInPandas(run, f"{key} long, pos int, " + ", ".join(f"{n} string" for n in names[1:]))
+
+
+def link_rank(legend: Column, heading: Column, before: Column, around: Column) -> Column:
+    """(priority, kind) of a document link by its context: changes of a plan 100, plans 90, agreements 10, regional steps 0, others 30."""
+    legend, heading, before, around = (F.lower(F.coalesce(c, F.lit(""))) for c in (legend, heading, before, around))
+    everything = F.concat_ws(" ", legend, heading, before, around)
+    change = has_any(legend, ["correcci", "modificaci"]) | has_any(heading, ["correcci", "modificaci"]) | has_any(everything, ["corrección plan estudio", "correccion plan estudio"])
+    published = ["publicación plan estudios", "publicacion plan estudios"]
+    plan = (has_any(before, [*published, "plan de estudios", "plan estudios"]) | has_any(everything, published)) & ~before.contains("consejo de ministros")
+    agreed = before.contains("consejo de ministros") | everything.contains("acuerdo de consejo de ministros")
+    regional = has_any(everything, ["autorización ccaa", "autorizacion ccaa", "extinción", "extincion", "renovación acreditación", "renovacion acreditacion"])
+    rank = lambda n, kind: F.struct(F.lit(n).alias("priority"), F.lit(kind).alias("kind"))
     return (
-        F.when(t.contains("plan de estudios"), 100).when(t.contains("modificaci") | t.contains("correcci"), 90).when(t.contains("boe") | t.contains("boletín"), 30)
-        .when(t.contains("carácter oficial") | t.contains("acuerdo"), 10).otherwise(0)
+        F.when(change, rank(100, "plan_correccion")).when(plan, rank(90, "plan_inicial")).when(agreed, rank(10, "acuerdo_consejo_ministros"))
+        .when(regional, rank(0, "tramite_autonomico_extincion")).otherwise(rank(30, "boe_general"))
     )

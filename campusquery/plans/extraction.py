@@ -41,8 +41,10 @@ def private_price_extract(spark, d):
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 2 THEN 30 WHEN 3 THEN 10 ELSE 0 END AS priority FROM events", views=False)
 def link_priority(spark, d):
-    forms = F.array(*[F.lit(x) for x in ("Plan de Estudios", "Modificación", "BOE", "Carácter oficial", "otro")])
-    return read(spark, d, "events").withColumn("label", F.get(forms, (F.col("event_id") % 5).cast("int"))).select("event_id", html.link_priority(F.lit(None).cast("string"), F.col("label")).alias("priority"))
+    forms = F.array(*[F.lit(x) for x in ("Modificación", "Plan de Estudios", "BOE", "Acuerdo de Consejo de Ministros", "Autorización CCAA")])
+    legend = F.get(forms, (F.col("event_id") % 5).cast("int"))
+    nothing = F.lit(None).cast("string")
+    return read(spark, d, "events").select("event_id", html.link_rank(legend, nothing, legend, nothing)["priority"].alias("priority"))
 
 
 @query("""WITH p AS (SELECT p_size::BIGINT AS doc, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey)::INTEGER - 1 AS page, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS head FROM part),
@@ -107,14 +109,14 @@ def html_courses(spark, d):
     return grid.web_courses(html.extract_tables(pages), "page_id").select("page_id", "nombre", "ects", "caracter", "curso")
 
 
-@query("""WITH r AS (SELECT *, CASE event_id % 4 WHEN 1 THEN DATE '2012-01-02' END AS date, CASE event_id % 7 WHEN 0 THEN 100 WHEN 1 THEN 90 ELSE 30 END AS priority FROM events WHERE event_id % 4 <> 0),
+@query("""WITH r AS (SELECT *, CASE event_id % 4 WHEN 1 THEN DATE '2012-01-02' END AS date, CASE event_id % 7 WHEN 0 THEN 90 WHEN 1 THEN 100 ELSE 30 END AS priority FROM events WHERE event_id % 4 <> 0),
 m AS (SELECT *, max(priority) OVER (PARTITION BY user_id) AS top FROM r)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, coalesce(date, DATE '1970-01-01') DESC, event_id)::INTEGER AS place, priority, date IS NOT NULL AS dated,
   'https://www.boe.es' || CASE event_id % 4 WHEN 1 THEN '/boe/dias/2012/01/02/x.pdf' WHEN 2 THEN '/z.pdf' ELSE '/w.html' END AS url FROM m WHERE top < 90 OR priority >= 90 QUALIFY place <= 8""", views=False)
 def document_candidates(spark, d):
     forms = F.array(*[F.lit(x) for x in ("/boe/dias/2007/01/02/x.pdf", "/boe/dias/2012/01/02/x.pdf", "/z.pdf", "/w.html")])
     legend = F.when(F.col("event_id") % 7 == 0, "Plan de estudios").when(F.col("event_id") % 7 == 1, "Modificación")
-    links = read(spark, d, "events").select("user_id", F.col("event_id").alias("pos"), F.get(forms, (F.col("event_id") % 4).cast("int")).alias("href"), F.lit("BOE").alias("label"), legend.alias("legend"))
+    links = read(spark, d, "events").select("user_id", F.col("event_id").alias("pos"), F.get(forms, (F.col("event_id") % 4).cast("int")).alias("href"), F.lit("BOE").alias("label"), *[x.alias(n) for x, n in ((legend, "legend"), (F.lit(""), "heading"), (legend, "before"), (F.lit(""), "around"))])
     return registry.document_candidates(links, "user_id").select("user_id", "place", "priority", F.col("date").isNotNull().alias("dated"), "url")
 
 

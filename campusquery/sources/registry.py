@@ -66,20 +66,21 @@ def document_date(label: Column, href: Column) -> Column:
 
 
 def document_candidates(links: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """Official documents among links (key, pos, href, label, legend): those from 2009 on, by priority and then the newest.
+    """Official documents among links (key, pos, href, label and their context, as ``html.document_links`` gives them): those from 2009 on, by priority and then the newest.
 
     Only priorities of 90 or more count where there are such, else those above 0; ``most`` a key.
     """
     href, label = blank(F.trim("href")), blank(F.col("label"))
     official = F.lower(href).contains("boe.es") | F.lower(label).contains("boe") | F.lower(href).contains(".pdf")
     early = href.rlike("/(19[0-9]{2}|200[0-8])/") | href.rlike(r"(?i)A[0-9]{5}-[0-9]{5}\.pdf")
-    rows = links.withColumns({"date": document_date(label, href), "priority": html.link_priority("legend", "label")})
+    rank = html.link_rank(*[F.col(c) for c in ("legend", "heading", "before", "around")])
+    rows = links.withColumns({"date": document_date(label, href), "_rank": rank}).withColumns({"priority": F.col("_rank.priority"), "kind": F.col("_rank.kind")})
     rows = rows.filter(official & ~early & (F.col("date").isNull() | (F.col("date") >= F.lit("2009-01-01").cast("date"))))
     rows = rows.withColumn("url", web.normalize_url(href)).withColumn("_top", F.max("priority").over(Window.partitionBy(key)))
     rows = rows.filter(F.when(F.col("_top") >= 90, F.col("priority") >= 90).otherwise(F.col("priority") > 0))
     order = [F.desc("priority"), F.coalesce("date", F.lit("1970-01-01").cast("date")).desc(), F.col("pos")]
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("place", place).filter(F.col("place") <= most).select(key, "place", "url", "label", "date", "priority")
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select(key, "place", "url", "label", "date", "priority", "kind")
 
 
 def write_sheet(df: DataFrame, path: str) -> None:

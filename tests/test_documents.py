@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from campusquery.operators import grid
+from campusquery.operators import grid, html
 from campusquery.sources import registry
 
 
@@ -107,15 +107,18 @@ def test_site_maps(spark):
     assert sorted(r.url for r in registry.sitemap_urls(df, "k", words=registry.title_words(F.col("t"))).collect()) == ["https://u.es/Grados", "https://u.es/fisica"]
 
 
+PAGE = """<fieldset><legend>Modificaciones del plan</legend><a href="/boe/dias/2012/01/02/x.pdf">BOE 3/4/2011</a></fieldset>
+<table><tr><th>Publicación plan estudios</th><td><a href="/boe/dias/2013/13/02/y.pdf"><b>BOE</b></a></td></tr></table><strong>Acuerdo de Consejo de Ministros</strong><a href="/z.pdf">BOE</a>
+<strong>Plan de estudios</strong><a href="/boe/dias/2007/01/02/old.pdf">BOE</a><a href="/a">nada</a><a name="x">sin</a>"""
+
+
 def test_document_candidates(spark):
-    rows = [
-        (1, 0, "/boe/dias/2007/01/02/x.pdf", "BOE", None), (1, 1, "/boe/dias/2012/01/02/x.pdf", "BOE 3/4/2011", "Plan de estudios"), (1, 2, "/boe/dias/2013/13/02/y.pdf", "BOE", "Modificación"),
-        (1, 3, "/z.pdf", "BOE", None), (2, 0, "/boe/dias/2012/01/02/x.pdf", "BOE 1/1/2008", "Plan de estudios"), (2, 1, "/w.pdf", "Boletín", None), (2, 2, "/w.html", None, None),
-    ]
-    df = spark.createDataFrame(rows, "k int, pos int, href string, label string, legend string")
-    got = [(r.k, r.place, r.url, r.date, r.priority) for r in registry.document_candidates(df, "k").orderBy("k", "place").collect()]
+    pages = [(1, PAGE), (2, "<strong>Varios</strong><a href='/w.pdf'>Boletín</a><a href='/v.pdf'>1/1/2008</a><p>Extinción</p>"), (3, None), (4, "")]
+    df = html.document_links(spark.createDataFrame(pages, "page_id long, html string"))
+    got = [tuple(r) for r in registry.document_candidates(df, "page_id").orderBy("page_id", "place").collect()]
     assert got == [
-        (1, 1, "https://www.boe.es/boe/dias/2012/01/02/x.pdf", datetime.date(2011, 4, 3), 100), (1, 2, "https://www.boe.es/boe/dias/2013/13/02/y.pdf", None, 90), (2, 1, "https://www.boe.es/w.pdf", None, 30),
+        (1, 1, "https://www.boe.es/boe/dias/2012/01/02/x.pdf", "BOE 3/4/2011", datetime.date(2011, 4, 3), 100, "plan_correccion"), (1, 2, "https://www.boe.es/boe/dias/2013/13/02/y.pdf", "BOE", None, 90, "plan_inicial"),
+        (2, 1, "https://www.boe.es/w.pdf", "Boletín", None, 30, "boe_general"),
     ]
 
 
