@@ -76,9 +76,9 @@ def degree_price(degrees: DataFrame, region_col: str, kind: str, level: str, tit
     out = keyed.join(table, (F.col("_region") == F.col("t_region")) & (F.col("_category") == F.col("t_category")) & F.col("_public"), "left")
     annual = F.when(F.col("_category") == "Doctorado", F.col("p1") + F.col("fees")).otherwise(60 * F.col("p1") + F.col("fees")).cast("decimal(8,2)")
     source = (
-        F.when(~F.col("_public"), "Precio fijado por la universidad privada")
-        .when(F.col("t_region").isNull(), F.concat(F.lit("Región sin tarifa: "), F.coalesce(F.nullif(F.trim(F.col(region_col)), F.lit("")), F.lit("Sin CCAA"))))
-        .otherwise(F.concat(F.lit("Tarifa oficial: "), F.col("decree")))
+        F.when(~F.col("_public"), fixed.PRICE_SOURCE["private"])
+        .when(F.col("t_region").isNull(), F.format_string(fixed.PRICE_SOURCE["unknown"], F.coalesce(F.nullif(F.col(region_col), F.lit("")), F.lit("Sin CCAA"))))
+        .otherwise(F.concat(F.lit(fixed.PRICE_SOURCE["official"]), F.col("decree")))
     )
     out = out.withColumns({"precio_anual": annual, "fuente_precio": source} | {f"precio_{k}": F.col(f"p{k}") for k in range(1, 5)})
     return out.select(*degrees.columns, *[f"precio_{k}" for k in range(1, 5)], "precio_anual", "fuente_precio")
@@ -91,6 +91,22 @@ def tier_price(tier: int | Column, p1: Column, p2: Column, p3: Column, p4: Colum
     return F.when(tier == 2, stored[0]).when(tier == 3, stored[1]).when(tier == 4, stored[2]).otherwise(base) if isinstance(tier, Column) else [base, *stored][tier - 1]
 
 
+def discount(kind: Column, private: Column, cost: Column, first_cost: Column, base: Column, ects: Column, first_ects: Column, own_price: Column) -> Column:
+    """(amount, fee_share): what a reduction takes off the cost, and the share of the fees that is left.
+
+    ``first_cost`` and ``first_ects`` count first enrolments alone. At a private university only grants and honours
+    count, at the degree's own price of a credit, or 16.80 where it has none.
+    """
+    own = F.coalesce(F.nullif(own_price, F.lit(0.0)), F.lit(DEFAULT_PRICE))
+    cut = lambda amount, share=1.0: F.struct(amount.alias("amount"), F.lit(share).alias("fee_share"))
+    return (
+        F.when(private & (kind == "beca_mec"), cut(first_ects * own)).when(private & (kind == "mh_bachillerato"), cut(F.least(ects, F.lit(60.0)) * own)).when(private, cut(F.lit(0.0)))
+        .when(kind == "fn_general", cut(cost * 0.5, 0.5)).when(kind.isin("fn_especial", "discapacidad", "victima_violencia"), cut(cost, 0.0))
+        .when(kind == "beca_mec", cut(first_cost)).when(kind == "mh_bachillerato", cut(F.least(cost, 60 * base))).when(kind == "bonif_99", cut(first_cost * 0.99))
+        .otherwise(cut(F.lit(0.0)))
+    )
+
+
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance on a sphere of 6371 km, to one decimal."""
     dlat, dlng = F.radians(lat2 - lat1), F.radians(lng2 - lng1)

@@ -301,7 +301,7 @@ TARIFF_SQL = "k (k, ccaa, p1, p2, p3, p4, fees, decree) AS (VALUES " + ", ".join
 
 @query(f""", {TARIFF_SQL}
 SELECT codigo_estudio, titulo, nivel, tipo, k.ccaa, {', '.join(f"CASE WHEN tipo = 'Pública' THEN p{i} END::DOUBLE AS precio_{i}" for i in (1, 2, 3, 4))}, CASE WHEN tipo = 'Pública' THEN 60 * p1 + fees END::DOUBLE AS precio_anual,
-  CASE WHEN tipo = 'Pública' THEN 'Tarifa oficial: ' || decree ELSE 'Precio fijado por la universidad privada' END AS fuente_precio
+  CASE WHEN tipo = 'Pública' THEN {q(fixed.PRICE_SOURCE['official'])} || decree ELSE {q(fixed.PRICE_SOURCE['private'])} END AS fuente_precio
 FROM t JOIN u USING (u_key) JOIN k ON k.k = u_key % {len(fixed.TARIFFS)}""")
 def degree_price(spark, d):
     """Tariffs of all degrees, region by region of the catalogue; other categories are held to literal expectations in the tests."""
@@ -389,6 +389,26 @@ def tuition_total(spark, d):
     return rounded(z.withColumns({"family_total": F.greatest(F.lit(0.0), F.col("cost") - F.col("large_family") + 22.5), "grant_total": F.greatest(F.lit(0.0), F.col("cost") - F.col("grant") + 45), "honours_total": F.greatest(F.lit(0.0), F.col("cost") - F.col("honours") + 45)}), "family_total", "grant_total", "honours_total")
 
 
+REDUCTIONS = ["fn_general", "fn_especial", "beca_mec", "mh_bachillerato", "bonif_99", "ninguna"]
+
+
+@query(f""", {LINES}, y AS (SELECT codigo_estudio, sum({COST})::DOUBLE AS cost, coalesce(sum({COST}) FILTER (tier = 1), 0)::DOUBLE AS first, sum(ects)::DOUBLE AS e, coalesce(sum(ects) FILTER (tier = 1), 0)::DOUBLE AS e1 FROM x GROUP BY 1),
+z AS (SELECT *, u_key % 2 = 1 AS private, (codigo_estudio % 6)::INTEGER AS k, CASE WHEN codigo_estudio % 5 = 0 THEN 16.8 ELSE 20 END AS own FROM y JOIN t USING (codigo_estudio)),
+w AS (SELECT *, CASE WHEN private THEN CASE k WHEN 2 THEN e1 * own WHEN 3 THEN least(e, 60) * own ELSE 0 END ELSE CASE k WHEN 0 THEN cost * 0.5 WHEN 1 THEN cost WHEN 2 THEN first WHEN 3 THEN least(cost, 60 * 12.62) WHEN 4 THEN first * 0.99 ELSE 0 END END::DOUBLE AS amount,
+  CASE WHEN private OR k > 1 THEN 1 WHEN k = 0 THEN 0.5 ELSE 0 END AS share FROM z)
+SELECT codigo_estudio, round(amount + 1e-6, 2) AS amount, round(greatest(0, cost - amount + 45 * share) + 1e-6, 2) AS total FROM w""")
+def tuition_reductions(spark, d):
+    """Totals under the reduction that a degree's code selects; every other university counts as private."""
+    first = lambda c: F.coalesce(F.sum(F.when(F.col("tier") == 1, F.col(c))).cast("double"), F.lit(0.0))
+    y = tuition(spark, d).groupBy("codigo_estudio").agg(*[F.sum(c).cast("double").alias(c) for c in ("cost", "ects")], first("cost").alias("first"), first("ects").alias("e1"))
+    z = y.join(degrees(spark, d).select("codigo_estudio", "u_key"), "codigo_estudio")
+    kind = F.get(F.array(*[F.lit(x) for x in REDUCTIONS]), (F.col("codigo_estudio") % 6).cast("int"))
+    own = F.when(F.col("codigo_estudio") % 5 == 0, F.lit(0.0)).otherwise(20.0)
+    cut = money.discount(kind, F.col("u_key") % 2 == 1, F.col("cost"), F.col("first"), F.lit(12.62), F.col("ects"), F.col("e1"), own)
+    w = z.withColumn("cut", cut).select("codigo_estudio", F.col("cut.amount").alias("amount"), F.greatest(F.lit(0.0), F.col("cost") - F.col("cut.amount") + 45 * F.col("cut.fee_share")).alias("total"))
+    return rounded(w, "amount", "total")
+
+
 @query("SELECT codigo_estudio, round(60 * 16.8 * (CASE codigo_estudio % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 WHEN 2 THEN 3.0 ELSE 4.5 END), 2)::DOUBLE AS total, 10::BIGINT AS n FROM t")
 def flat_simulation(spark, d):
     k = F.col("codigo_estudio") % 4
