@@ -10,6 +10,7 @@ until one window is left of the whole table.
 from __future__ import annotations
 
 import base64
+import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -28,6 +29,8 @@ from .common import Work, table
 CAPACITY, OPEN, GROUP = 1024, 64, 256
 #: The vocabulary of byte_bpe_50k.json, as ranks; both libraries give the same ids.
 RANKS = "byte_bpe_50k.tiktoken"
+#: The tokenizer itself, for its added tokens, which the ranks lack.
+TOKENIZER = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, ids binary"
 
 
@@ -35,12 +38,19 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(word): int(n) for word, n in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as own:
+        added = {t["content"]: t["id"] for t in json.load(own)["added_tokens"]}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Ids of the whole text (null: empty), then id 0. Strings of special tokens are ordinary text."""
-    return np.append(encoding(path).encode_to_numpy(text or "", disallowed_special=()), 0).astype("<u4")
+def token_ids(text: str | None, path: str, encode_special_tokens: bool = True) -> np.ndarray:
+    """Ids of the whole text (null: empty), then id 0.
+
+    ``encode_special_tokens`` is the switch of tokenizers: strings of added tokens are ordinary text with it,
+    and get the token's own id without it, which is that library's default.
+    """
+    special = set() if encode_special_tokens else "all"
+    return np.append(encoding(path).encode_to_numpy(text or "", allowed_special=special, disallowed_special=()), 0).astype("<u4")
 
 
 class Packer:
@@ -120,13 +130,13 @@ class Rows:
         return out
 
 
-def pack_partition(path: str, capacity: int, slots: int):
+def pack_partition(path: str, capacity: int, slots: int, encode_special_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(TaskContext.get().partitionId() << 33)
         packer = Packer(rows.add, capacity, slots)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_ids(text.as_py(), path)
+                ids = token_ids(text.as_py(), path, encode_special_tokens)
                 packer.add((doc, 0, len(ids), ids))
             yield rows.batch()
         rows.add(packer.close(), keep=True)
@@ -147,7 +157,7 @@ def merge_group(capacity: int, slots: int, level: int):
     return run
 
 
-def pack(work: Work, docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slots: int = OPEN) -> DataFrame:
+def pack(work: Work, docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slots: int = OPEN, encode_special_tokens: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of the windows of ``docs``.
 
     A null text is empty and still has the closing id; null ids and repeated rows are packed like others.
@@ -155,7 +165,7 @@ def pack(work: Work, docs: DataFrame, path: str | None = None, capacity: int = C
     lost executor repeats only its own partitions.
     """
     path = path or public_tokenizers.path(RANKS)
-    left = work.save(docs.select("doc_id", "text").mapInArrow(pack_partition(path, capacity, slots), SCHEMA), "pack0")
+    left = work.save(docs.select("doc_id", "text").mapInArrow(pack_partition(path, capacity, slots, encode_special_tokens), SCHEMA), "pack0")
     pid = F.shiftright("sequence_id", 33)
     groups, level, done = (left.agg(F.max(pid)).first()[0] or 0) + 1, 1, [left.filter("ids is null")]
     left = left.filter("ids is not null").withColumn("_group", pid)
@@ -170,5 +180,5 @@ def pack(work: Work, docs: DataFrame, path: str | None = None, capacity: int = C
 
 
 def op2_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 1024 tokens."""
-    return pack(Work(spark), table(spark, sf_dir, "documents"))
+    """All documents in sequences of 1024 tokens, with the tokenizer's default settings."""
+    return pack(Work(spark), table(spark, sf_dir, "documents"), encode_special_tokens=False)

@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences; repeated documents make pieces like others."""
-    return packing.pack(Work(spark), docs)
+    return packing.pack(Work(spark), docs, encode_special_tokens=False)
 
 
 STAGES = [

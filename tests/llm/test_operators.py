@@ -84,6 +84,17 @@ def test_packing_round_trip(spark, odd):
     assert (got.groupby("sequence_id").length.sum() != 1024).sum() <= 1
 
 
+def test_packing_reads_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  é\n", "<|endoftext", "<|<|endoftext|>|>", None, PROSE]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (packing.op2_bounded_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        got = {r.doc_id: (r.start, r.length, r.doc_tokens, r.ids_crc32) for r in got.collect()}
+        want = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+        assert got == {i: (0, len(v), len(v), zlib.crc32(v.tobytes())) for i, v in enumerate(want)}
+
+
 def test_mixing_comes_near_its_targets(spark, data):
     got = mixing.op4_pivotal_mixing(spark, data).toPandas()
     again = mixing.op4_pivotal_mixing(spark, data).toPandas()
