@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, Work, table
 
 WINDOW = 8
+#: What a line must hold to count as one.
+INK = r"[^\x20\x09-\x0D]"
+#: 128 bits of a row's id, host and text; rows that share them are equal.
+KEY = ["_k1", "_k2"]
 
 
 def repeated_words(words: Column) -> Column:
@@ -62,22 +66,27 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))))
 
 
+def row_key() -> list[Column]:
+    cols = [f(c) for c in ("doc_id", "host", "text") for f in (F.isnull, F.col)]
+    return [F.xxhash64(F.lit(k), *cols).alias(k) for k in KEY]
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, host): figures, ``_uid`` and ``_lines`` (hash, characters).
+    """Per row of ``docs`` (doc_id, text, host): figures, the key and ``_lines`` (hash, characters, place in the text).
 
     A null text has no words. A host may be null, which is a host of its own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = docs.select(
-        F.monotonically_increasing_id().alias("_uid"),
+        *row_key(),
         "doc_id",
         "host",
         F.filter(F.split(text, SPACE), lambda w: w != "").alias("_words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_text_lines"),
+        F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: x["x"].rlike(INK)).alias("_placed"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
-    return parts.select(
-        "_uid",
+    return parts.withColumn("_text_lines", F.col("_placed.x")).select(
+        *KEY,
         "doc_id",
         "host",
         F.size("_words").cast("long").alias("n_words"),
@@ -85,7 +94,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_symbols",
         (F.size("_text_lines") - F.size(F.array_distinct("_text_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        F.transform("_text_lines", lambda x: F.struct(line_hash(x).alias("h"), F.char_length(x).alias("c"))).alias("_lines"),
+        F.transform("_placed", lambda x: F.struct(line_hash(x["x"]).alias("h"), F.char_length(x["x"]).alias("c"), x["i"])).alias("_lines"),
     )
 
 
@@ -100,22 +109,34 @@ def frequent_lines(feats: DataFrame, max_docs: int) -> DataFrame:
     return lines.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("host", "h")
 
 
+def line_chars(lines: Column) -> Column:
+    return F.aggregate(F.filter(lines, lambda x: x.rlike(INK)), F.lit(0).cast("long"), lambda acc, x: acc + F.char_length(x))
+
+
 def line_filter(work: Work, docs: DataFrame, max_docs: int = 20, max_removed: float = 0.5) -> DataFrame:
-    """Figures of each row with ``line_chars``, ``removed_chars`` and ``depleted``.
+    """Each row with its figures, ``text`` without its frequent lines, ``line_chars``, ``removed_chars`` and ``depleted``.
 
     Depleted: over ``max_removed`` of the line characters are in frequent lines. A row without lines is
-    not depleted. The join with the frequent lines meets hot lines; both sides are plain shuffles, which
-    adaptive execution splits.
+    not depleted. Blank lines stay, and so does a null text. The join with the frequent lines meets hot
+    lines; both sides are plain shuffles, which adaptive execution splits. Texts are shuffled once, to
+    the places of their frequent lines, and are in no saved table.
     """
     feats = work.save(features(docs), "features")
     often = work.save(frequent_lines(feats, max_docs), "often")
-    lines = feats.select("_uid", "host", F.explode("_lines").alias("x")).select("_uid", "host", "x.h", "x.c")
+    lines = feats.select(*KEY, "host", F.explode("_lines").alias("x")).select(*KEY, "host", "x.h", "x.i")
     hit = lines.join(often.withColumnsRenamed({"host": "_host", "h": "_h"}), F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")))
-    removed = hit.groupBy("_uid").agg(F.sum("c").cast("long").alias("removed_chars"))
+    gone = hit.groupBy(*KEY).agg(F.collect_set("i").alias("_gone"))
     total = F.aggregate("_lines", F.lit(0).cast("long"), lambda acc, x: acc + x["c"])
-    out = feats.withColumn("line_chars", total).drop("_lines").join(removed, "_uid", "left")
-    out = out.withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0).cast("long")))
-    return out.withColumn("depleted", F.col("removed_chars") > F.col("line_chars") * F.lit(max_removed))
+    figures = feats.withColumn("line_chars", total).drop("doc_id", "host", "_lines")
+    once = figures.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in figures.columns if c not in KEY])
+    # Never broadcast: both grow with the documents.
+    found = once.join(gone, KEY, "left")
+    out = docs.select("doc_id", "host", "text", *row_key()).join(found.hint("merge"), KEY)
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    out = out.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    out = out.withColumn("removed_chars", F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.col("line_chars") - line_chars(F.col("_left"))).cast("long"))
+    out = out.withColumn("text", F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n")))
+    return out.drop(*KEY, "_gone", "_left").withColumn("depleted", F.col("removed_chars") > F.col("line_chars") * F.lit(max_removed))
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,22 @@ def test_line_filter_rejects_depleted_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string")
     got = {r.doc_id: r.depleted for r in quality.line_filter(Work(spark), docs, max_docs=5).collect()}
     assert got == {**{i: True for i in range(6)}, 9: False}
+
+
+def test_line_filter_removes_frequent_lines(spark, data):
+    rows = [(i, f"Shared   LINE\n\nown {i}\nshared line\n", "h") for i in range(4)] + [(3, "Shared   LINE\n\nown 3\nshared line\n", "h"), (5, "shared line\nx", "g"), (6, "shared line", "h"), (None, None, None), (7, "", "h")]
+    rows += [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "source").collect()]
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    seen = {}
+    for k, (_, t, host) in enumerate(rows):
+        for x in (t or "").split("\n"):
+            seen.setdefault((host, norm(x)), set()).add(k)
+    want = []
+    for i, t, host in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if not norm(x) or len(seen[host, norm(x)]) <= 5]
+        want.append((i, None if t is None else "\n".join(left), sum(len(x) for x in lines if norm(x)) - sum(len(x) for x in left if norm(x))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string").repartition(3)
+    got = [(r.doc_id, r.text, r.removed_chars) for r in quality.line_filter(Work(spark), docs, max_docs=5).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert (0, "\nown 0\n", 24) in got and (6, "", 11) in got and sum(n > 0 for *_, n in got) == 6
