@@ -1,9 +1,10 @@
 """Personal data: fixed rules, and a character BiLSTM with CRF transitions that adds spans.
 
 All four kinds hold a digit or an "@". So the network reads windows of a fixed grid, each with its neighbours
-half overlapping, and only those that hold such a character: a span without one is no span. Every place
-takes its label from the window where it lies nearest to the middle; the labels of a text are then joined
-to spans, so that a span may cross any number of windows.
+half overlapping, first those that hold such a character, since a span without one is no span, then their
+neighbours for as long as labels run on into them. Every place takes its label from the window where it
+lies nearest to the middle; the labels of a text are then joined to spans, which are those of decoding
+every window, and may cross any number of windows.
 """
 
 from __future__ import annotations
@@ -298,9 +299,33 @@ def trained(texts: int = 1000, epochs: int = 4) -> Tagger:
 
 def tagged(model: Tagger, texts: list[str], rows: int = 512) -> list[list[tuple[str, int, int]]]:
     """Spans of each text by the network: its windows are decoded in blocks, stitched and reconciled."""
-    starts = [grid(t) if t else np.empty(0, np.int64) for t in texts]
     labels = [np.zeros(len(t), np.int8) for t in texts]
-    queue = [(i, s) for i, own in enumerate(starts) for s in np.array_split(own, -(-len(own) // rows) or 1) if len(s)]
+    new = {i: grid(t) for i, t in enumerate(texts) if t}
+    done, reach = {i: np.zeros(len(texts[i]) // STRIDE + 3, bool) for i, own in new.items() if len(own)}, 1
+    while new := {i: own for i, own in new.items() if len(own)}:
+        decode(model, texts, new, labels, rows)
+        for i, own in new.items():
+            done[i][own // STRIDE + 1] = True
+        new, reach = {i: beyond(labels[i], own, done[i], reach) for i, own in new.items()}, 2 * reach
+    return [joined(t, y) for t, y in zip(texts, labels, strict=True)]
+
+
+def beyond(labels: np.ndarray, starts: np.ndarray, done: np.ndarray, reach: int) -> np.ndarray:
+    """Starts of windows, ``reach`` on each side at most, into which a run at the edge of the own parts at ``starts`` may go on."""
+    first, last, end = starts + WIDTH // 4, starts + WIDTH // 4 + STRIDE - 1, len(labels) - 1
+    left = starts[(first > 0) & (first <= end) & (labels[np.clip(first, 0, end)] > 0)]
+    right = starts[(last < end) & (labels[np.minimum(last, end)] > 0)]
+    steps = np.arange(1, reach + 1)
+    # A neighbour that is decoded has its own edges, which were looked at or are in ``starts``.
+    left, right = left[~done[left // STRIDE]], right[~done[right // STRIDE + 2]]
+    at = np.unique(np.concatenate([(left[:, None] // STRIDE - steps).ravel(), (right[:, None] // STRIDE + steps).ravel()]))
+    at = at[(at >= -1) & (at * STRIDE + WIDTH // 4 < len(labels))]
+    return at[~done[at + 1]] * STRIDE
+
+
+def decode(model: Tagger, texts: list[str], starts: dict[int, np.ndarray], labels: list[np.ndarray], rows: int) -> None:
+    """Puts the labels of the own parts of the windows at ``starts`` (by text) into ``labels``."""
+    queue = [(i, s) for i, own in starts.items() for s in np.array_split(own, -(-len(own) // rows)) if len(s)]
     k = 0
     while k < len(queue):
         block, size = [], 0
@@ -316,7 +341,6 @@ def tagged(model: Tagger, texts: list[str], rows: int = 512) -> list[list[tuple[
             value = own[:, WIDTH // 4 : WIDTH // 4 + STRIDE].ravel()
             inside = (at >= 0) & (at < len(texts[i]))
             labels[i][at[inside]] = value[inside]
-    return [joined(t, y) for t, y in zip(texts, labels, strict=True)]
 
 
 def joined(text: str, labels: np.ndarray) -> list[tuple[str, int, int]]:

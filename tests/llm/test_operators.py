@@ -139,6 +139,19 @@ def test_tagger_finds_labelled_spans():
     assert pii.all_spans(pii.trained(), [long])[0][1] == [("email", 39000, 39019)]
 
 
+def test_tagger_finds_the_spans_of_decoding_every_window():
+    model, mail = pii.trained(), "info@müller-maschinenbau.de"
+    texts = [("so und auch " * 10)[k:] + mail + " und so" * 30 for k in range(32)] + [f"ä{'b' * n}@{'c' * n}ü.de und so weiter" for n in range(0, 400, 7)]
+    texts += [t for t, _ in pii.labelled_texts(40, seed=78)] + ["@", "é@", "a" * 47 + "@", "", "1" * 100]
+    whole = []
+    for t in texts:
+        y = np.zeros(len(t), np.int8)
+        pii.decode(model, [t], {0: np.arange(-1, len(t) // 32 + 1) * 32}, [y], 512)
+        whole.append(pii.joined(t, y))
+    assert pii.tagged(model, texts) == whole
+    assert all(s == [("email", t.index(mail), t.index(mail) + len(mail))] for t, s in zip(texts[:32], whole))
+
+
 def test_tagger_gradients():
     model = pii.Tagger(1)
     r = np.random.default_rng(0)
