@@ -136,6 +136,14 @@ def registry_universities(spark, d):
     return first.select("codigo", "nombre", F.row_number().over(Window.orderBy(catalog.public_first(F.col("tipo")), "pos")).alias("lugar"))
 
 
+@query("SELECT CASE WHEN c_custkey < 100 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END AS codigo, c_name AS nombre FROM customer WHERE c_custkey % 7 <> 0", views=False)
+def registry_universities_all(spark, d):
+    """The whole list, with codes that are padded; ``registry_universities`` is its head above code 100."""
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").select(k.alias("pos"), F.concat(k, F.lit(".0")).alias("CÃ³digo"), F.when(k % 7 != 0, F.col("c_name")).alias("Universidad"), F.when(k % 3 == 0, "Pública").otherwise("Privada").alias("Tipo"))
+    return registry.registry_universities(rows).select("codigo", "nombre")
+
+
 @query(f"WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'https://u.es/grados/' || page_id FROM pages) SELECT DISTINCT page_id, url FROM u WHERE {sql_any('lower(url)', fixed.STUDY_ADDRESS)}", views=False)
 def sitemap_urls(spark, d):
     xml = F.concat(F.lit("<urlset><loc>"), "url", F.lit("</loc><loc> https://u.es/grados/"), "page_id", F.lit("</loc></urlset>"))
