@@ -98,6 +98,17 @@ def preselect(items: Column, limit: float = 60.0) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["t"])
 
 
+def preselect_plan(items: Column, limit: float = 60.0) -> Column:
+    """Indices of the items (array of struct i, ects, caracter, curso) selected at first: those whose year holds a "1" where any
+    item has a year, else basic, compulsory and untyped ones in order while their sum stays within ``limit``. Without credits an item counts 6."""
+    year = lambda x: F.coalesce(x["curso"], F.lit(""))
+    kind = lambda x: F.coalesce(x["caracter"], F.lit("")).isin("FB", "OB", "")
+    ects = lambda x: F.coalesce(F.nullif(x["ects"], F.lit(0).cast("double")), F.lit(6.0))
+    first = F.transform(F.filter(items, lambda x: F.contains(year(x), F.lit("1"))), lambda x: x["i"])
+    flat = F.transform(F.filter(items, kind), lambda x: F.struct(x["i"].alias("i"), ects(x).alias("ects")))
+    return F.when(F.exists(items, lambda x: year(x).rlike(r"(?U)\S")), first).otherwise(preselect(flat, limit))
+
+
 def merge_plans(documents: list[dict], required: float) -> list[dict]:
     """Courses of one degree from its documents, newest first; a fold over few rows.
 

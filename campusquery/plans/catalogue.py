@@ -344,6 +344,26 @@ r AS (SELECT codigo_estudio, i, CASE WHEN ects <= 60 THEN ects ELSE 0 END AS s,
       FROM r JOIN x ON x.codigo_estudio = r.codigo_estudio AND x.i = r.i + 1)
 SELECT codigo_estudio, max_by(taken, i) AS taken FROM r GROUP BY 1"""
 
+@query(None)
+def preselect_plans(spark, d):
+    """The preselection with its branch by year and its types; two of three plans have no years, and lines without a type stand for blank ones."""
+    kind = F.when(F.col("caracter") == "A", "OB").when(F.col("caracter") == "R", "OP").when(F.col("l_partkey") % 2 == 0, "FB").otherwise("")
+    rows = courses(spark, d).withColumns({"caracter": kind, "curso": F.when(F.col("codigo_estudio") % 3 == 0, F.col("curso")).otherwise("")})
+    items = F.array_sort(F.collect_list(F.struct("orden", "l_partkey", "l_suppkey", "l_extendedprice", "ects", "caracter", "curso")))
+    numbered = F.transform("x", lambda x, i: F.struct((i + 1).alias("i"), x["ects"].alias("ects"), x["caracter"].alias("caracter"), x["curso"].alias("curso")))
+    return rows.groupBy("codigo_estudio").agg(items.alias("x")).select("codigo_estudio", F.array_join(state.preselect_plan(numbered), ",").alias("taken"))
+
+
+ORACLE_SQL["preselect_plans"] = SQL_VIEWS.replace("WITH u AS", "WITH RECURSIVE u AS") + f""", {LINES},
+y AS (SELECT codigo_estudio, i, CASE WHEN ects = 0 THEN 6 ELSE ects END AS e, CASE WHEN codigo_estudio % 3 = 0 THEN curso ELSE '' END AS label,
+        CASE caracter WHEN 'A' THEN 'OB' WHEN 'R' THEN 'OP' ELSE CASE WHEN l_partkey % 2 = 0 THEN 'FB' ELSE '' END END IN ('FB', 'OB', '') AS able FROM x),
+r AS (SELECT codigo_estudio, 0::BIGINT AS i, 0::DOUBLE AS s, '' AS taken FROM y WHERE i = 1
+      UNION ALL SELECT r.codigo_estudio, y.i, CASE WHEN able AND s + e <= 60 THEN s + e ELSE s END, CASE WHEN able AND s + e <= 60 THEN taken || CASE WHEN taken = '' THEN '' ELSE ',' END || y.i::VARCHAR ELSE taken END
+      FROM r JOIN y ON y.codigo_estudio = r.codigo_estudio AND y.i = r.i + 1),
+f AS (SELECT codigo_estudio, max_by(taken, i) AS flat FROM r GROUP BY 1),
+g AS (SELECT codigo_estudio, bool_or(trim(label) <> '') AS named, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (contains(label, '1')), '') AS first FROM y GROUP BY 1)
+SELECT codigo_estudio, CASE WHEN named THEN first ELSE flat END AS taken FROM g JOIN f USING (codigo_estudio)"""
+
 COST = "(ects::DECIMAL(12,2) * CASE tier WHEN 1 THEN 12.62 WHEN 2 THEN 25.24 WHEN 3 THEN 54.40 ELSE 75.60 END)"
 
 

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from campusquery.operators import grid, html
+from campusquery.operators import grid, html, state
 from campusquery.plans import catalogue, extraction  # noqa: F401  (registers its queries)
 from campusquery.sources import registry
 
@@ -132,3 +132,14 @@ def test_registry_list_is_whole(spark, data):
     rows = {r.codigo: r.nombre for r in catalogue.QUERIES["registry_universities_all"](spark, data).collect()}
     own = {f"{r.c_custkey:03d}": r.c_name for r in spark.read.parquet(f"{data}/customer.parquet").collect() if r.c_custkey % 7}
     assert rows == own and "001" in rows and len(rows) > 50
+
+
+def test_preselection_by_year_and_type(spark):
+    plans = {
+        1: [(1, 6.0, "OP", "1"), (2, 90.0, "OB", "Curso 1º"), (3, 6.0, "FB", "2"), (4, 6.0, "FB", None)],
+        2: [(1, 30.0, "OP", ""), (2, 30.0, "OB", " "), (3, 40.0, "FB", None), (4, 12.0, None, ""), (5, 0.0, "", ""), (6, 6.0, "TFG", ""), (7, None, "FB", ""), (8, 6.0, "FB", ""), (9, 6.0, "FB", "")],
+        3: [(1, 6.0, "OB", "2")],
+    }
+    rows = spark.createDataFrame(list(plans.items()), "k long, x array<struct<i int, ects double, caracter string, curso string>>")
+    got = {r.k: r.t for r in rows.select("k", state.preselect_plan(F.col("x")).alias("t")).collect()}
+    assert got == {1: [1, 2], 2: [2, 4, 5, 7, 8], 3: []}
