@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,35 +24,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def local_folder(application: str) -> str:
+    """A folder of this machine for one local application."""
+    return tempfile.mkdtemp(prefix="campusquery-")
+
+
+def lower_batches(spark: SparkSession) -> None:
+    """For frames that run after their function has returned; lasts."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXT_ROWS:  # 0 is no limit
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of TEXT_ROWS rows at most: with long texts the default of 10000 makes buffers of hundreds of MB on both sides."""
+    before = spark.conf.get(BATCH_ROWS)
+    lower_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 class Work:
-    """Tables that cut the lineage: Parquet below ``spark.checkpoint.dir``.
+    """Tables that cut the lineage: Parquet below ``spark.checkpoint.dir``, which all executors see.
 
-    A lost executor costs only the stage at work, since all executors see these files. Where the
-    setting is absent (tests), a temporary folder of this machine stands in for it.
+    A lost executor costs only the stage at work. Where the setting is absent, a local master (tests, a bench)
+    gets a temporary folder of its machine; on a cluster, where executors could not see that, it raises.
     """
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="campusquery-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        # Rows hold long texts: the default of 10000 in an Arrow batch makes buffers of a hundred MB on both sides.
-        if int(spark.conf.get(BATCH_ROWS)) > TEXT_ROWS:
-            spark.conf.set(BATCH_ROWS, TEXT_ROWS)
-        self.spark, self.root = spark, f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = local_folder(spark.sparkContext.applicationId)
+        self.spark, self.root, self.made = spark, f"{base.rstrip('/')}/work-{uuid.uuid4().hex}", []
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+    def part(self) -> Work:
+        """Tables of one step, which may end with a ``last`` of its own."""
+        own = Work(self.spark)
+        own.root = self.path("part")
+        return own
 
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
+    def path(self, name: str) -> str:
+        """A new path below this object's folder; a name may be used again."""
+        self.made.append(f"{self.root}/{len(self.made)}-{name}")
+        return self.made[-1]
+
+    def save(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
+        """``df`` written and read again; with ``last``, nothing else of this object is read any more and is deleted."""
+        path = self.path(name)
+        with small_batches(self.spark):
+            df.write.parquet(path)
+        if last:
+            self.drop(*[x for x in self.made if x != path])
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *paths: str) -> None:
+        """Deletes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for x in paths:
+            path = jvm.org.apache.hadoop.fs.Path(x)
             path.getFileSystem(conf).delete(path, True)
 
 

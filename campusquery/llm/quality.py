@@ -141,13 +141,14 @@ def line_filter(work: Work, docs: DataFrame, max_docs: int = 20, max_removed: fl
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and line-frequency verdict over all documents; the host is ``source``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
-    out = line_filter(Work(spark), docs)
+    work, docs = Work(spark), table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
+    out = line_filter(work, docs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.select(
+    out = out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & ~F.col("depleted")).alias("kept"), "removed_chars",
     )
+    return work.save(out, "rows", last=True)
 
 
 SQL_OP1 = r"""

@@ -58,5 +58,6 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    out = with_slots(Work(spark), shard_by_key(docs, [1.0] * SHARDS))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    work = Work(spark)
+    out = with_slots(work, shard_by_key(docs, [1.0] * SHARDS))
+    return work.save(out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"), "rows", last=True)

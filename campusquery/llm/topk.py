@@ -27,12 +27,12 @@ QUERIES, BINS, CHUNK = 8192, 256, 1024
 def integral(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v array<double>) with floor(scale * x), x as double.
 
-    Null vectors, those that hold null or non-finite components, empty ones and rows without an id take no part.
-    Components beyond 64 bits saturate.
+    Null vectors, those that hold null or non-finite components and rows without an id take no part; an empty one
+    does, with the score 0 against other empty ones. Components beyond 64 bits saturate.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    return embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & finite).select("vec_id", v.alias("v"))
+    return embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", v.alias("v"))
 
 
 class Block:
@@ -56,7 +56,7 @@ def matrices(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.n
         fit = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == dim)
         if len(fit):
             ids = b.column(0).to_numpy()[fit]
-            v = lists.take(pa.array(fit)).flatten().to_numpy().reshape(-1, dim)
+            v = lists.take(pa.array(fit)).flatten().to_numpy().reshape(len(fit), dim)
             for k in range(0, len(ids), CHUNK):
                 yield ids[k : k + CHUNK], v[k : k + CHUNK]
 
@@ -139,9 +139,9 @@ def top_k(work: Work, vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     ``vectors``: (vec_id, v). Rows with the query's own id are not its candidates. Vectors of another length
     than the query's have no product with it and take no part. Two queries with equal ids both count.
     """
-    spark = vectors.sparkSession
+    spark, work = vectors.sparkSession, work.part()
     rows = work.save(vectors, "vectors")
-    reach = {r[0]: r[1] for r in rows.groupBy(F.size("v").alias("d")).agg(F.max(F.array_max(F.transform("v", F.abs)))).collect()}
+    reach = {r[0]: r[1] or 0.0 for r in rows.groupBy(F.size("v").alias("d")).agg(F.max(F.array_max(F.transform("v", F.abs)))).collect()}
     # Queries in blocks of QUERIES rows, numbered without a global sort.
     asked = work.save(rows.filter(is_query).withColumn("_at", F.monotonically_increasing_id()), "queries")
     parts = asked.groupBy(F.shiftright("_at", 33).alias("p"), F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()
@@ -178,7 +178,7 @@ def top_k(work: Work, vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("_block", "query").orderBy(F.desc("score"), "vec_id")
     out = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return work.save(out.select("query_id", "rank", "vec_id", "score"), "best", last=True)
 
 
 def _last(own: DataFrame, p: int) -> int:
@@ -193,7 +193,8 @@ def op7_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_OP7 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS p,
+             CASE WHEN p >= 9223372036854775807 THEN 9223372036854775807 WHEN p <= -9223372036854775808 THEN -9223372036854775808 ELSE try_cast(p AS BIGINT) END AS score
       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
