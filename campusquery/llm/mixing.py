@@ -6,19 +6,24 @@ from one to the other until one is integral; which way is drawn so that every ex
 fractional document is left of a block; the left-overs of 128 blocks meet in the next level, until one
 is left of each source. So the words taken of a source miss its
 target by one document at most; then one document is turned over where that brings them nearer.
+
+Rows equal in id, size and source are one unit: as many of them as their number times the fraction get a
+further copy outright, and the rest of that number is the fraction of one more row, which alone is rounded.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, SPACE, Work, ranked, table, unit_interval
 
 BLOCK = 128
 MAX_COPIES = 3
+#: Equal rows that one task makes of a unit.
+PIECE = 4096
 KEY = ["src_null", "src"]
 
 
@@ -106,27 +111,27 @@ def settle(rated: DataFrame, took: DataFrame, work: Work) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size"))
     both = rated.join(took, same & (F.col("src") == F.col("_src")) & (F.col("src_null") == F.col("_src_null")), "left")
     both = work.save(both.drop("_doc_id", "_size", "_src", "_src_null"), "rounded")
-    words = F.col("size") * F.col("n_rows")
-    given = words * (F.col("whole") + F.coalesce("_take", F.lit(0)))
+    given = F.col("size") * (F.col("n_rows") * F.col("whole") + F.col("n_more") + F.coalesce("_take", F.lit(0)))
     miss = both.groupBy(*KEY).agg((F.sum(given) - F.first("target")).alias("_miss"))
     miss = F.broadcast(miss) if miss.count() <= BROADCAST_ROWS else miss
-    left = F.abs(F.abs("_miss") - words)
+    left = F.abs(F.abs("_miss") - F.col("size"))
     able = both.join(miss, KEY).filter((F.col("_take") == (F.col("_miss") > 0).cast("int")) & (left < F.abs("_miss")))
     turned = able.groupBy(*KEY).agg(F.min(F.struct(left.alias("l"), F.col("doc_id").alias("d"), F.col("size").alias("s"))).alias("_turn"))
     turned = work.save(turned, "turned")
     turned = F.broadcast(turned) if turned.count() <= BROADCAST_ROWS else turned
     hit = F.col("_turn").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_turn.d")) & (F.col("size") == F.col("_turn.s"))
     take = F.coalesce("_take", F.lit(0))
-    return both.join(turned, KEY, "left").withColumn("copies", F.col("whole") + F.when(hit, 1 - take).otherwise(take))
+    return both.join(turned, KEY, "left").withColumn("n_more", F.col("n_more") + F.when(hit, 1 - take).otherwise(take))
 
 
 def copies(work: Work, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
-    """Distinct (doc_id, size, source) of ``docs`` with ``n_rows``, ``source_size``, ``target`` and ``copies``.
+    """Distinct (doc_id, size, source) of ``docs`` with ``n_rows``, ``source_size``, ``target``, ``whole`` and ``n_more``.
 
-    Equal rows are one unit that weighs as many times its size, so they get equal copies and no block grows
-    with repeats. Null ids and sources are values like others. A document of size 0 gets no copy beyond the
+    Each of the ``n_rows`` equal rows gets ``whole`` copies, and ``n_more`` of them one more. No block grows with
+    repeats. Null ids and sources are values like others. A document of size 0 gets no copy beyond the
     whole part of its rate, and of a source of size 0 none.
     """
+    work = work.part()
     named = docs.select("doc_id", "size", *source_key(F.col("source")))
     distinct = work.save(named.groupBy("doc_id", "size", *KEY).agg(F.count("*").alias("n_rows")), "units")
     sums = distinct.groupBy(*KEY).agg(F.sum(F.col("size") * F.col("n_rows")).cast("long").alias("source_size"), F.count("*").alias("n_units"))
@@ -137,31 +142,68 @@ def copies(work: Work, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3),
     goal = work.save(goal.withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("int")), "goal")
     n, blocks = goal.agg(F.count("*"), F.max("n_blocks")).first()
     rated = distinct.join(F.broadcast(goal) if n <= BROADCAST_ROWS else goal, KEY)
-    p = F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))
-    units = rated.filter((p > 1e-12) & (F.col("size") > 0)).select(
-        *KEY, F.struct("doc_id", "size").alias("k"), (F.col("size") * F.col("n_rows")).cast("double").alias("w"), p.alias("p"),
+    share = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")) * F.col("n_rows")).otherwise(0.0)
+    rated = rated.withColumn("n_more", F.floor(share + 1e-12).cast("long"))
+    units = rated.withColumn("p", share - F.col("n_more")).filter("p > 1e-12").select(
+        *KEY, F.struct("doc_id", "size").alias("k"), F.col("size").cast("double").alias("w"), "p",
         F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("n_blocks")).alias("block"),
     )
     took = round_fractions(work, units, blocks or 1, seed)
-    return settle(rated, took, work).select("doc_id", "size", *KEY, "n_rows", "source_size", "target", "copies")
+    out = settle(rated, took, work).select("doc_id", "size", *KEY, "n_rows", "source_size", "target", "whole", "n_more")
+    return work.save(out, "copies", last=True)
+
+
+def place_among_equals(work: Work, rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with ``_place``, gapless from 0 among the rows equal in ``key``; a task holds a group's rows of one partition at most."""
+    rows = work.save(rows.withColumn("_at", F.monotonically_increasing_id()), "equals")
+    rows = rows.withColumn("_pid", F.shiftright("_at", 33))
+    own = Window.partitionBy("_pid", *key)
+    parts = rows.groupBy("_pid", *key).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"_p_{k}") for k in ("_pid", *key)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    same = F.lit(True)
+    for k in ("_pid", *key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    numbered = rows.withColumn("_own", F.row_number().over(own.orderBy("_at")) - 1)
+    return numbered.join(parts, same).withColumn("_place", F.col("_own") + F.col("_skip")).drop("_at", "_pid", "_own", "_skip", *[f"_p_{k}" for k in ("_pid", *key)])
 
 
 def mix(work: Work, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), seed: int = 1) -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes it (0 to 3 times), in the columns of ``docs``."""
+    """Rows of ``docs``, each as often as the mix takes it (0 to 3 times), in the columns of ``docs``.
+
+    Null texts count 0 words. Where rows equal in id, size and source get different numbers of copies, their order decides.
+    """
     names = docs.columns
     sized = docs.withColumn("_size", word_count(F.col("text")))
     got = copies(work, sized.select("doc_id", F.col("_size").alias("size"), "source"), weights, seed)
-    got = work.save(got.filter("copies > 0").select(*[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "size", *KEY, "copies")]), "copies")
+    got = got.filter((F.col("whole") > 0) | (F.col("n_more") > 0)).withColumn("uneven", (F.col("n_more") > 0) & (F.col("n_more") < F.col("n_rows")))
+    got = got.select(*[F.col(c).alias(f"_m_{c}") for c in ("doc_id", "size", *KEY, "whole", "n_more", "uneven")])
     null, src = source_key(F.col("source"))
     same = F.col("doc_id").eqNullSafe(F.col("_m_doc_id")) & (F.col("_size") == F.col("_m_size"))
     # Never broadcast: the copies grow with the documents, and their files are far smaller than their rows.
-    out = sized.join(got.hint("merge"), same & (null == F.col("_m_src_null")) & (src == F.col("_m_src")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*names)
+    join = lambda some: sized.join(some.hint("merge"), same & (null == F.col("_m_src_null")) & (src == F.col("_m_src")))
+    again = lambda rows, n: rows.filter(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).select(*names)
+    even = again(join(got.filter("not _m_uneven")), (F.col("_m_whole") + (F.col("_m_n_more") > 0).cast("int")).cast("int"))
+    uneven = got.filter("_m_uneven")
+    if not uneven.limit(1).count():
+        return even
+    placed = place_among_equals(work, join(uneven), ["_m_doc_id", "_m_size", "_m_src_null", "_m_src"])
+    return even.unionByName(again(placed, (F.col("_m_whole") + (F.col("_place") < F.col("_m_n_more")).cast("int")).cast("int")))
+
+
+def rows_again(units: DataFrame, most: int) -> DataFrame:
+    """A row of ``units`` for each of its ``n_rows`` rows, with ``_place`` from 0; hot units are dealt out in pieces of PIECE rows."""
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.lit(PIECE).cast("long")))
+    pieces = units.withColumn("_start", start)
+    pieces = pieces.repartition("doc_id", "size", "_start") if most > PIECE else pieces
+    last = F.least(F.col("_start") + PIECE, F.col("n_rows")) - 1
+    return pieces.withColumn("_place", F.explode(F.sequence("_start", last))).drop("_start")
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words the mix takes of every document; weights 1, 2, 3 repeat over the sources."""
+    """Words the mix takes of every row of ``documents``; weights 1, 2, 3 repeat over the sources. A null text has size 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    out = copies(Work(spark), docs)
-    out = out.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    units = copies(Work(spark), docs)
+    out = rows_again(units, units.agg(F.max("n_rows")).first()[0] or 0)
+    n = F.col("whole") + (F.col("_place") < F.col("n_more")).cast("int")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * n).cast("long").alias("taken"))
