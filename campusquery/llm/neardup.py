@@ -136,7 +136,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 s = shingles(w)
                 m = signature(s) if len(w) else None
                 counts.append(len(s))
-                contents.append(None if m is None else xxhash.xxh128_digest(w.tobytes()))
+                contents.append(content_of(w))
                 sigs.append(None if m is None else m.astype(np.uint8).tobytes())
                 keys.append(None if m is None else band_keys(m))
             cols = [b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(contents, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
@@ -145,10 +145,15 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, content binary, sig binary, keys array<long>")
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """(content, rep, n, sig, keys) of each content key: its smallest id and the number of rows. Combines before the shuffle."""
+def classes(rows: DataFrame, repeated: bool) -> DataFrame:
+    """(content, node, rep, n, sig, keys) of each content key: its smallest id and the number of rows. Combines before the shuffle.
+
+    ``node`` names the class in all that follows: its smallest id, or, where rows that repeat an id may have
+    different texts, a number that holds once the classes are saved.
+    """
     known = rows.filter("content is not null and doc_id is not null")
-    return known.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    out = known.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    return out.withColumn("node", F.monotonically_increasing_id() if repeated else F.col("rep"))
 
 
 def attach(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -166,7 +171,7 @@ def prune(pairs: DataFrame, reps: DataFrame, need: tuple[int, ...]) -> DataFrame
             sig = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b")]
             yield x.select(["a", "b"]).take(pa.array(likely(*sig, need)))
 
-    both = attach(pairs, reps.select(F.col("rep").alias("id"), "sig"), "sig")
+    both = attach(pairs, reps.select(F.col("node").alias("id"), "sig"), "sig")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
@@ -187,24 +192,37 @@ def bit_map(work: Work, ids: DataFrame, name: str) -> DataFrame:
     return work.save(ids.groupBy(word_of("id").alias("_word")).agg(F.bit_or(bit_of("id")).alias("_bits")), f"{name}_map")
 
 
-def full_sets(work: Work, docs: DataFrame, ids: DataFrame, repeated: bool, name: str) -> DataFrame:
-    """(id, own) of the documents of ``ids`` (id) and a few others: the sorted shingle hashes of the whole text.
+def content_of(w: np.ndarray) -> bytes | None:
+    """128 bits of a word sequence; none without words."""
+    return xxhash.xxh128_digest(w.tobytes()) if len(w) else None
+
+
+def full_sets(work: Work, docs: DataFrame, reps: DataFrame, ids: DataFrame, repeated: bool, name: str) -> DataFrame:
+    """(id, own) of the nodes of ``ids`` (id) and a few others: the sorted shingle hashes of the whole text.
 
     Texts are not shuffled. A bit map of hashed ids goes to all readers; its size is fixed, so that with very
-    many ids it lets more others through, which the joins that follow drop. Where ids repeat, the least set counts.
+    many ids it lets more others through, which the joins that follow drop. Where ids repeat, a text is known by
+    its content key.
     """
-    some = docs.select("doc_id", "text").join(F.broadcast(bit_map(work, ids, name)), word_of("doc_id") == F.col("_word"))
+    ids = ids.distinct()
+    wanted = reps.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("content", "node", F.col("rep").alias("id")) if repeated else ids
+    some = docs.select("doc_id", "text").join(F.broadcast(bit_map(work, wanted, name)), word_of("doc_id") == F.col("_word"))
     some = some.filter(F.col("_bits").bitwiseAND(bit_of("doc_id")) != 0).select("doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0).cast(pa.int64()), pa.array([shingles(words(t.as_py())).tobytes() for t in x.column(1)], pa.binary())], ["id", "own"])
+            found = [words(t.as_py()) for t in x.column(1)]
+            cols = [x.column(0).cast(pa.int64()), pa.array([content_of(w) for w in found] if repeated else [None] * len(found), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([shingles(w).tobytes() for w in found], pa.binary())], ["id", "content", "own"])
 
-    own = some.mapInArrow(sets, "id long, own binary")
-    return work.save(own.groupBy("id").agg(F.min("own").alias("own")) if repeated else own, f"{name}_sets")
+    own = some.mapInArrow(sets, "id long, content binary, own binary")
+    if not repeated:
+        return work.save(own.select("id", "own"), f"{name}_sets")
+    once = own.groupBy("content").agg(F.first("own").alias("own"))
+    return work.save(once.join(wanted.drop("id"), "content").select(F.col("node").alias("id"), "own"), f"{name}_sets")
 
 
-def confirm(work: Work, pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool) -> DataFrame:
+def confirm(work: Work, pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +238,7 @@ def confirm(work: Work, pairs: DataFrame, docs: DataFrame, percent: int, repeate
             yield x.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    own = full_sets(work, docs, ids, repeated, "star")
+    own = full_sets(work, docs, reps, ids, repeated, "star")
     out = attach(pairs, own, "own").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long")
     return work.save(out, "star_links")
 
@@ -335,7 +353,7 @@ def clusters(work: Work, members: DataFrame, reps: DataFrame, need: tuple[int, .
         keep = forest(i, j, g.id.to_numpy())
         return as_pairs(g, i[keep], j[keep])
 
-    full = in_blocks(members, SIG_BLOCK).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    full = in_blocks(members, SIG_BLOCK).join(reps.select(F.col("node").alias("id"), "sig"), "id")
     edges = work.save(over_blocks(full, "bucket", pairs).distinct(), "near")
     if not edges.limit(1).count():
         return None
@@ -359,9 +377,9 @@ def cluster_links(work: Work, near: DataFrame, comp: DataFrame, reps: DataFrame,
         return as_pairs(g, i[keep], j[keep])
 
     sizes = near.groupBy("cluster").agg(F.count("*").alias("n"))
-    own = full_sets(work, docs, near.select("id"), repeated, "near")
+    own = full_sets(work, docs, reps, near.select("id"), repeated, "near")
     full = near.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(sizes, "cluster")
-    full = in_blocks(full, SET_BLOCK).join(reps.select(F.col("rep").alias("id"), "sig"), "id").join(own, "id")
+    full = in_blocks(full, SET_BLOCK).join(reps.select(F.col("node").alias("id"), "sig"), "id").join(own, "id")
     return work.save(over_blocks(full, "cluster", pairs), "near_links")
 
 
@@ -383,22 +401,21 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> tuple[np.ndarr
     return out.astype(np.int64), size
 
 
-def near_duplicates(work: Work, docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+def components_of(work: Work, docs: DataFrame, percent: int, miss: float) -> tuple[DataFrame, bool]:
+    """(doc_id, n_shingles, content, group, component_id) of every row of ``docs``, and whether ids repeat.
 
-    Null and empty texts, and null ids, are linked with nothing; a null id has a null component. Rows that
-    repeat an id share its component.
+    ``group`` numbers the components, which may share their least id where ids repeat; null: the only row of its text, without a link.
     """
     need = least_matches(percent / 100, miss)
     rows = work.save(sketches(docs), "sketches")
     repeated = bool(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
-    reps = work.save(classes(rows), "classes")
-    placed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("bucket"))
+    reps = work.save(classes(rows, repeated), "classes")
+    placed = reps.select(F.col("node").alias("id"), F.explode("keys").alias("bucket"))
     size = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     members = work.save(placed.join(work.save(size, "buckets"), "bucket"), "members")
     star = members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     star = work.save(prune(work.save(star, "star"), reps, need), "star_pairs")
-    links = confirm(work, star, docs, percent, repeated)
+    links = confirm(work, star, docs, reps, percent, repeated)
     comp = components(work, links, "star")
     named = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), "n")
     named = work.save(named, "named")
@@ -408,35 +425,66 @@ def near_duplicates(work: Work, docs: DataFrame, percent: int = 75, miss: float
         more = cluster_links(work, near, comp, reps, docs, need, percent, repeated)
         comp = components(work, links.union(more), "all")
     # A class that has one row and no link is its own component; the others are looked up.
-    known = reps.select("content", "rep", "n").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
-    known = known.filter("n > 1 or comp is not null").select(F.col("content").alias("_content"), F.coalesce("comp", "rep").alias("_comp"))
+    known = reps.select("content", "node", "rep", "n").join(comp.select(F.col("id").alias("node"), "comp"), "node", "left")
+    known = known.filter("n > 1 or comp is not null").withColumn("group", F.coalesce("comp", "node"))
+    if repeated:  # a component is named by its smallest id, not by its smallest node
+        known = known.join(known.groupBy("group").agg(F.min("rep").alias("least")), "group")
+    known = known.select(F.col("content").alias("_content"), "group", F.col("least" if repeated else "group").alias("_comp"))
     known = work.save(known, "known")
     out = rows.select("doc_id", "n_shingles", "content").join(known, F.col("content") == F.col("_content"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", "content", "group", F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id")).alias("component_id"))
+    return work.save(out, "found", last=True), repeated
 
 
-def keep_one(work: Work, docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, in its columns, that stand for their near-duplicate group: those of its smallest id.
+def near_duplicates(work: Work, docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
-    Of rows that share that id one stays, that of the smallest text hash. Rows without an id all stay.
+    Null and empty texts, and null ids, are linked with nothing; a null id has a null component. A document is a
+    row: rows that repeat an id are linked as their own texts are, and a component has the smallest id in it.
     """
-    found = near_duplicates(work, docs)
-    kept = work.save(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "kept")
+    return components_of(work.part(), docs, percent, miss)[0].drop("content", "group")
+
+
+def keep_one(work: Work, docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, in its columns, one of each near-duplicate group: of its smallest id and, of several such rows, the
+    smallest content key; of rows equal in both, any one. Rows without an id, and those without words, all stay."""
+    found, repeated = components_of(work.part(), docs, 75, MISS)
+    if repeated:
+        return keep_one_of_repeated(work, docs, found)
     # Most rows stay: those that miss the map of the dropped ids need no join, and their texts no shuffle.
-    dropped = work.save(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "dropped")
-    seen = docs.filter("doc_id is not null").withColumn("_spot", word_of("doc_id"))
-    seen = seen.join(F.broadcast(bit_map(work, dropped, "dropped")), F.col("_spot") == F.col("_word"), "left")
+    dropped = work.save(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")), "dropped")
+    some, rest = split(work, docs, dropped)
+    return rest.unionByName(some.join(dropped.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id"), "left_anti"))
+
+
+def split(work: Work, docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that may have one of ``ids`` (id), by the map of these, and the others."""
+    seen = docs.withColumn("_spot", word_of("doc_id")).join(F.broadcast(bit_map(work, ids, "dropped")), F.col("_spot") == F.col("_word"), "left")
     hit = F.coalesce(F.col("_bits").bitwiseAND(bit_of("doc_id")) != 0, F.lit(False))
-    doubtful = seen.filter(hit).select(*docs.columns).join(dropped.withColumnRenamed("id", "_id"), F.col("doc_id") == F.col("_id"), "left_anti")
-    out = seen.filter(~hit).select(*docs.columns).unionByName(doubtful)
-    again = kept.filter("_n > 1").select("_kept")
-    if again.limit(1).count():
-        # Spark keeps the first row of each key before the shuffle, too, so a hot id makes one row per task.
-        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        own = F.col("doc_id") == F.col("_kept")
-        some = docs.join(again, own, "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
-        out = out.join(again, own, "left_anti").unionByName(some)
-    return out.unionByName(docs.filter("doc_id is null"))
+    return seen.filter(hit).select(*docs.columns), seen.filter(~hit).select(*docs.columns)
+
+
+def keep_one_of_repeated(work: Work, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``keep_one`` where ids repeat: rows are told apart by id and content key."""
+    pairs = found.filter("content is not null and doc_id is not null").groupBy("doc_id", "content").agg(F.count("*").alias("n"), F.first("group").alias("group"))
+    pairs = work.save(pairs, "pairs")
+    grouped = pairs.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "content")).alias("x")).select("x.*")
+    chosen = grouped.union(pairs.filter("group is null").select("doc_id", "content"))
+    chosen = work.save(chosen.select(F.col("doc_id").alias("_id"), F.col("content").alias("_key")), "chosen")
+    others = pairs.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("content") == F.col("_key")), "left_anti")
+    gone = others.select("doc_id").union(pairs.filter("n > 1").select("doc_id")).distinct()
+    some, rest = split(work, docs, work.save(gone.withColumnRenamed("doc_id", "id"), "gone"))
+
+    @F.pandas_udf("binary")
+    def content(text: pd.Series) -> pd.Series:
+        return pd.Series([content_of(words(t)) for t in text], dtype=object)
+
+    some = work.save(some.withColumn("_own", content("text")), "some")
+    # Spark keeps the first row of each key before the shuffle, too, so a hot row makes one per task.
+    first = Window.partitionBy("doc_id", "_own").orderBy(F.xxhash64("text"))
+    kept = some.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi")
+    kept = kept.withColumn("_place", F.row_number().over(first)).filter("_place = 1")
+    return rest.unionByName(some.filter("_own is null or doc_id is null").select(*docs.columns)).unionByName(kept.select(*docs.columns))
 
 
 def op9_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,14 +496,14 @@ def op9_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OP9 = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS h
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
-c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * k >= 75 * (ca.n + cb.n - k)),
-r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
-FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
+s AS (SELECT DISTINCT uid, doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS h
+      FROM (SELECT uid, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+c AS (SELECT uid, count(*) AS n FROM s GROUP BY uid),
+p AS (SELECT x.uid AS a, y.uid AS b, count(*) AS k FROM s x JOIN s y ON x.h = y.h AND x.uid <> y.uid WHERE x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN c ca ON ca.uid = a JOIN c cb ON cb.uid = b WHERE 100 * k >= 75 * (ca.n + cb.n - k)),
+r AS (SELECT uid AS a, uid AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.component_id, coalesce(d.doc_id = m.component_id, true) AS kept
+FROM d LEFT JOIN c USING (uid) JOIN (SELECT a, min(e.doc_id) AS component_id FROM r JOIN d e ON e.uid = r.b GROUP BY a) m ON m.a = d.uid
 """
