@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
 The model is fitted on a bounded, documented sample of labelled rows; every whole text is then scored.
-N-grams are hashed to 2^20 buckets; of these, the most telling have a weight.
+N-grams are hashed to 2^20 buckets; of these, the most telling have a weight: those in three sampled texts or more
+whose class shares differ by more than chance (``MIN_TELLING``), ``FEATURES`` at most. Other n-grams count for nothing.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def train_rows(work: Work, docs: DataFrame, labels: DataFrame, sample: int) -> t
     """Sampled (text, toxic) rows outside the held-out quarter, and how many such rows each class has.
 
     The sample is that of the smallest hashes of doc_id, ``sample`` of each class, so reruns agree. An id
-    with labels that differ is toxic; null labels and null ids are left out.
+    with labels that differ is toxic; null labels and null ids are left out. Of an id with several texts one is
+    taken, that of the smallest hash, so that the sample has 2 * ``sample`` rows at most.
     """
     rows = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = work.save(rows.filter(~held_out(F.col("doc_id"))), "labels")
@@ -102,8 +104,8 @@ def train_rows(work: Work, docs: DataFrame, labels: DataFrame, sample: int) -> t
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     picked = [rows.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows at most
-    found = docs.filter("text is not null").join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return work.save(found, "sample"), counts
+    found = docs.filter("text is not null").join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"), F.first("toxic").alias("toxic"))
+    return work.save(found.select("x.text", F.col("toxic").cast("int").alias("toxic")), "sample"), counts
 
 
 def held_out(doc_id: Column) -> Column:
@@ -112,15 +114,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(work: Work, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
-    """Fits the model: counts by bucket and class on the executors, the weights by numpy.
+    """Fits the model: counts by bucket and class on the executors, the weights by numpy. Its tables are deleted.
 
-    Without rows of both classes the score is the toxic share (0 with no labels).
+    Without labels of both classes the score is 0 or 1, as the labels are (0 with no labels).
     """
+    work = work.part()
+    model = fitted(work, docs, labels, sample, features)
+    work.drop(*work.made)
+    return model
+
+
+def fitted(work: Work, docs: DataFrame, labels: DataFrame, sample: int, features: int) -> Model:
     rows, counts = train_rows(work, docs, labels, sample)
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     weights = np.zeros(1 << BITS, np.float32)
     if not counts.get(0) or not counts.get(1):
         return Model(weights, -50.0 if not prior else 50.0)
+    n = dict.fromkeys((0, 1), 1) | {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
 
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         everything = np.ones(1 << BITS, bool)
@@ -138,7 +148,7 @@ def fit(work: Work, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
     )
     seen = work.save(seen, "seen")
     all_pos, all_neg = (float(x or 0) + 1 for x in seen.agg(F.sum("pos"), F.sum("neg")).first())
-    n_pos, n_neg = (min(sample, counts[c]) for c in (1, 0))
+    n_pos, n_neg = n[1], n[0]
     ratio = F.log((F.col("pos") + 1) / all_pos) - F.log((F.col("neg") + 1) / all_neg)
     p, q = F.col("pos") / n_pos, F.col("neg") / n_neg
     telling = F.pow(p - q, 2) / (p / n_pos + q / n_neg + 1e-9)
@@ -152,12 +162,12 @@ def fit(work: Work, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fe
         for b in batches:
             text, bucket = known_buckets(b.text.tolist(), slot >= 0)
             cut = np.searchsorted(text, np.arange(len(b) + 1))
-            cols = slot[bucket]
+            cols = slot[bucket].astype("<u2" if features <= 1 << 16 else "<u4")
             yield pd.DataFrame({"toxic": b.toxic, "cols": [cols[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]})
 
     data = rows.mapInPandas(selected, "toxic int, cols binary").toPandas()  # 2 * sample rows, their selected buckets
     data = data.sort_values(["toxic", "cols"], kind="stable")
-    cols = [np.frombuffer(x, np.int32) for x in data.cols]
+    cols = [np.frombuffer(x, "<u2" if features <= 1 << 16 else "<u4") for x in data.cols]
     w, bias = logistic(cols, data.toxic.to_numpy(float), best.r.to_numpy(), prior)
     weights[best.bucket] = w
     return Model(weights, bias)
@@ -186,7 +196,7 @@ def logistic(cols: list[np.ndarray], y: np.ndarray, scale: np.ndarray, prior: fl
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row; a null text counts as empty."""
+    """(doc_id, score) of every row, repeated ones too; a null text counts as empty. Runs after its return."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,8 +218,11 @@ def flag(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
 
 
 def op8_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents, from labels outside the held-out quarter."""
-    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
-    model = fit(Work(spark), docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    out = scored(docs, model)
+    """Scores of all documents, from labels outside the held-out quarter.
+
+    A row each, whatever repeats; a null text scores as an empty one, a null id is not held out.
+    """
+    work, (docs, labels) = Work(spark), (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = fit(work, docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    out = work.save(scored(docs, model), "scores", last=True)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
