@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Work, table
 
 KINDS = ("email", "ip", "card", "phone")
 SIGN = re.compile(r"[0-9@]")
@@ -54,7 +54,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not SIGN.search(text):
         return []
     found = [("email", a, b) for a, b in emails(text)]
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m.groups())]
     for m in CARD.finditer(text):
         digits = NO_DIGIT.sub("", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -370,22 +370,29 @@ def plausible(kind: str, value: str) -> bool:
 
 
 def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text. An added span overlaps no base span; all are in the order of kinds, then start."""
+    """(base spans, all spans) of each text, in the order of kinds, then start.
+
+    An added span is plausible for its kind and covers something that no base span does. Where it overlaps base
+    spans, what it covers beyond them must hold a letter or digit, lest it only adds a full stop or a bracket.
+    """
     base = [base_spans(t) for t in texts]
     out = []
     for text, fixed, more in zip(texts, base, tagged(model, texts), strict=True):
-        taken = sorted((a, b) for _, a, b in fixed)
-        new = [s for s in more if plausible(s[0], text[s[1] : s[2]]) and not any(a < s[2] and s[1] < b for a, b in near(taken, s))]
-        out.append((fixed, sorted(fixed + new, key=lambda s: (KINDS.index(s[0]), s[1]))))
+        new = [s for s in more if plausible(s[0], text[s[1] : s[2]])]
+        if new and fixed:
+            covered = np.zeros(len(text), bool)
+            for _, a, b in fixed:
+                covered[a:b] = True
+            new = [s for s in new if adds(text, covered, s)]
+        out.append((fixed, sorted(fixed + new, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
 
-def near(taken: list[tuple[int, int]], span) -> list[tuple[int, int]]:
-    """The spans of ``taken`` (sorted) that may touch ``span``."""
-    from bisect import bisect_left
-
-    k = bisect_left(taken, (span[2], 0))
-    return taken[max(0, k - 8) : k]
+def adds(text: str, covered: np.ndarray, span: tuple[str, int, int]) -> bool:
+    """Does a span go beyond the covered places by a letter or digit, if it touches them?"""
+    _, a, b = span
+    own = covered[a:b]
+    return not own.any() or any(text[k].isalnum() for k in (a + np.flatnonzero(~own)).tolist())
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
@@ -406,9 +413,9 @@ FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_s
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the base spans, and all spans, of every row (doc_id, text); a null text is empty.
+    """Counts and digests of the base spans, and all spans, of every row (doc_id, text), repeated ones too; a null text is empty.
 
-    Texts without a digit or an "@" have no spans and never leave the JVM.
+    Texts without a digit or an "@" have no spans and never leave the JVM. Runs after its return.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sign = F.col("text").rlike("[0-9@]")
@@ -428,7 +435,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs``, in its columns, with all spans of ``text`` replaced; null texts stay null."""
+    """``docs``, in its columns, with all spans of ``text`` replaced; null texts stay null. Runs after its return."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     @F.pandas_udf("string")
@@ -442,4 +449,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op5_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
-    return find(table(spark, sf_dir, "documents"))
+    return Work(spark).save(find(table(spark, sf_dir, "documents")), "found")
