@@ -12,6 +12,7 @@ import gzip
 import hashlib
 from collections.abc import Iterator
 from io import BytesIO
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark import TaskContext
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Work, table
 
-#: Bytes of records from which a volume is closed; one record may be longer.
-VOLUME = 8 << 20
+#: Bytes of records from which a piece goes to its volume, and pieces in a volume; one record may be longer.
+PIECE, PIECES = 1 << 20, 64
 #: Payload bytes from which a capture may be a revisit; copies over which a hot payload's join is spread.
 REVISIT_FROM, SALTS = 0, 16
 DATE = "2024-01-01T00:00:00Z"
@@ -74,8 +75,11 @@ def with_first(work: Work, pages: DataFrame) -> DataFrame:
     return salted.join(copies, ["_sha", "_bytes", "_salt"], "left").drop("_sha", "_bytes", "_salt")
 
 
-def write(work: Work, pages: DataFrame, path: str, volume: int = VOLUME) -> None:
-    """Writes the captures of ``pages`` (page_id, url, payload) to WARC files below ``path``; null urls and payloads are empty."""
+def write(work: Work, pages: DataFrame, path: str, piece: int = PIECE, pieces: int = PIECES) -> None:
+    """Writes the captures of ``pages`` (page_id, url, payload) to WARC files below ``path``; null urls and payloads are empty.
+
+    A task holds one piece at a time; a volume has ``pieces`` of them, so that files are few and their size is bounded.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -85,25 +89,23 @@ def write(work: Work, pages: DataFrame, path: str, volume: int = VOLUME) -> None
                 for r in capture(page_id if known else None, url, payload.encode(), first if linked else None, f"{task}-{serial}"):
                     held.append(r)
                     size += len(r)
-                if size >= volume:
-                    yield pd.DataFrame({"volume": [b"\r\n\r\n".join(held).decode()]})
+                if size >= piece:
+                    yield pd.DataFrame({"piece": [b"\r\n\r\n".join(held).decode()]})
                     held, size = [], 0
         if held:
-            yield pd.DataFrame({"volume": [b"\r\n\r\n".join(held).decode()]})
+            yield pd.DataFrame({"piece": [b"\r\n\r\n".join(held).decode()]})
 
     ready = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("payload", F.lit("")).alias("payload"))
     ready = with_first(work, ready)
     # Nullable integers would arrive as doubles; flags say which are null.
     for name, flag in (("page_id", "known"), ("first", "linked")):
         ready = ready.withColumn(flag, F.col(name).isNotNull()).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
-    volumes = ready.mapInPandas(run, "volume string")
-    # Each row is a file; the separator written after it closes its last record.
-    volumes.write.option("maxRecordsPerFile", 1).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    # The separator written after each piece closes its last record.
+    ready.mapInPandas(run, "piece string").write.option("maxRecordsPerFile", pieces).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of the records of a WARC file, by their Content-Length; raises where the file breaks off."""
-    stream = BytesIO(data)
     while line := stream.readline():
         if line != b"WARC/1.1\r\n":
             raise ValueError(f"no WARC record: {line[:40]!r}")
@@ -121,7 +123,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 PARSED = "kind string, link string, record_id string, url string, digest string, refers_to string, payload binary, fields string"
 
 
-def parse(files: DataFrame) -> DataFrame:
+def parse(files: DataFrame, payloads: bool = True) -> DataFrame:
     """Rows of the records of ``files`` (content); ``link`` is the request's identifier. A response's digest is verified."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,20 +131,21 @@ def parse(files: DataFrame) -> DataFrame:
         for b in batches:
             for data in b.content:
                 rows = []
-                for h, block in records(gzip.decompress(data)):
+                for h, block in records(gzip.GzipFile(fileobj=BytesIO(data))):
                     kind, own = h["warc-type"], h["warc-record-id"].strip("<>")
                     sha = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     if payload is not None and digest(payload) != sha:
                         raise ValueError(f"digest of {own}")
                     link = own if kind == "request" else h["warc-concurrent-to"].strip("<>")
-                    rows.append((kind, link, own, h.get("warc-target-uri"), sha, h.get("warc-refers-to", "").strip("<>") or None, payload, block.decode() if kind == "metadata" else None))
+                    rows.append((kind, link, own, h.get("warc-target-uri"), sha, h.get("warc-refers-to", "").strip("<>") or None, payload if payloads else None, block.decode() if kind == "metadata" else None))
                     if len(rows) == 500:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
                 yield pd.DataFrame(rows, columns=names)
 
-    return files.select("content").mapInPandas(run, PARSED)
+    rows = files.select("content").mapInPandas(run, PARSED)
+    return rows if payloads else rows.drop("payload")
 
 
 def assemble(parsed: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def assemble(parsed: DataFrame) -> DataFrame:
     part = lambda name, *cols: parsed.filter(F.col("kind").isin(*KINDS[name])).select("link", F.struct(*cols).alias(name))
     number = lambda name: F.nullif(F.regexp_extract("fields", rf"(?m)^{name}: (-?[0-9]*)\r?$", 1), F.lit("")).cast("long")
     request = part("request", "record_id", "url")
-    response = part("response", F.col("kind").alias("type"), "record_id", "digest", "refers_to", "payload")
+    response = part("response", F.col("kind").alias("type"), "record_id", "digest", "refers_to", *[c for c in parsed.columns if c == "payload"])
     metadata = part("metadata", "record_id", number("pageId").alias("page_id"), number("payloadBytes").alias("payload_bytes"))
     return request.join(response, "link", "left").join(metadata, "link", "left").drop("link")
 
@@ -158,18 +161,21 @@ def assemble(parsed: DataFrame) -> DataFrame:
 KINDS = {"request": ("request",), "response": ("response", "revisit"), "metadata": ("metadata",)}
 
 
-def read(work: Work, path: str) -> DataFrame:
-    """Captures of the WARC files below ``path``, assembled; the records are parsed once and saved."""
+def read(work: Work, path: str, payloads: bool = True) -> DataFrame:
+    """Captures of the WARC files below ``path``, assembled; the records are parsed once and saved.
+
+    Without ``payloads``, these are read and their digests verified, but the responses don't carry them on.
+    """
     files = work.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
-    return assemble(work.save(parse(files), "records"))
+    return assemble(work.save(parse(files, payloads), "records"))
 
 
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC and read back. Rows that repeat the largest page_id of a payload are all responses."""
     work = Work(spark)
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload"))
-    write(work, pages, work.path("warc"))
-    got = read(work, work.path("warc"))
+    pages, path = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("payload")), work.path("warc")
+    write(work, pages, path)
+    got = read(work, path, payloads=False)
     return got.select(
         F.col("metadata.page_id").alias("page_id"), F.col("metadata.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.nullif(F.regexp_extract("response.refers_to", r"^urn:page:(-?[0-9]+):", 1), F.lit("")).cast("long").alias("refers_to"),
@@ -182,7 +188,7 @@ b AS (SELECT *, list_reduce(list_transform(string_split(upper(sha1(html)), ''),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM b)
 SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
        list_reduce(list_transform(range(0, 160, 5), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN substr(bits, k + j + 1, 1) = '1' THEN CAST(pow(2, 4 - j) AS INTEGER) ELSE 0 END))::INTEGER, 1)), lambda x, y: x || y) AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM m
 """
