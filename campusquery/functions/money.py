@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +30,10 @@ def is_doctoral(level: Column, title: Column) -> Column:
     return has_any(n, ["doctor", "560", "900"]) | F.lower(blank(title)).contains("doctor")
 
 
-def completeness(doctoral: Column, has_plan: Column, n_courses: Column, n_summary: Column, ects: Column, required: Column) -> Column:
+def completeness(doctoral: Column, has_plan: Column, n_courses: Column, n_summary: Column, ects: Column, required: Column, known: Column | None = None) -> Column:
+    """State of a degree's plan; ``known``: is there anything on the degree."""
     return (
-        F.when(doctoral & has_plan, "doctorado_estructural").when(~has_plan, "sin_plan").when((n_courses == 0) & (n_summary > 0), "solo_resumen")
+        F.when(~(F.lit(True) if known is None else known), "sin_datos").when(doctoral & has_plan, "doctorado_estructural").when(~has_plan, "sin_plan").when((n_courses == 0) & (n_summary > 0), "solo_resumen")
         .when(n_courses == 0, "sin_asignaturas").when(ects >= required, "completo").otherwise("incompleto_parcial")
     )
 
@@ -114,5 +112,13 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     return F.round(6371 * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a)), 1)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions)
+def flat_simulation(credits: Column, tier: Column, per_credit: Column, per_year: Column) -> Column:
+    """(total, n): cost and number of courses of a year without a list of courses: at the price of a credit, else a 60th of the year's, else 16.80."""
+    rate = F.coalesce(F.nullif(per_credit, F.lit(0.0)), F.nullif(per_year, F.lit(0.0)) / 60, F.lit(DEFAULT_PRICE))
+    factor = F.when(tier == 1, 1.0).when(tier == 2, 1.5).when(tier == 3, 3.0).otherwise(4.5)
+    return F.struct((credits * rate * factor).alias("total"), F.floor(credits / 6 + 0.5).cast("long").alias("n"))
+
+
+def shown_annual(stored: Column, per_credit: Column) -> Column:
+    """The year's price that a card shows: as stored, else 60 credits and the fees in whole euro, else null."""
+    return F.coalesce(F.nullif(stored, F.lit(0.0)), F.floor(60 * F.nullif(per_credit, F.lit(0.0)) + 45.0 + 0.5).cast("double"))

@@ -48,6 +48,34 @@ def url_score(url: Column, label: Column, level: Column, keywords: list[str] = (
     return F.when(has_any(u, fixed.OFFICE_ADDRESS), F.greatest(F.lit(1), s - 80)).otherwise(s)
 
 
+def match_words(title: Column) -> Column:
+    """Words of a title by which a link may name a degree: of three letters or more, as split at white space, but common ones."""
+    words = F.split(F.trim(blank(title)), r"\s+")
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(fixed.LINK_STOP_WORDS))
+
+
+def academic(url: Column, label: Column) -> Column:
+    """May a link lead to studies, by a word in its label or address."""
+    return has_any(F.lower(blank(label)), fixed.STUDY_ADDRESS) | has_any(F.lower(blank(url)), fixed.STUDY_ADDRESS)
+
+
+def page_extinct(page: Column, state: Column) -> Column:
+    """Does a degree's page, anywhere in its text or in its state, say that the degree has ended."""
+    return has_any(F.lower(blank(page)), fixed.ENDED) | has_any(F.lower(blank(state)), fixed.ENDED)
+
+
+def list_extinct(page: Column) -> Column:
+    """Does the list of a degree's states, looked at where its page has no documents, say that it has ended."""
+    up = F.upper(blank(page))
+    return up.contains("EXTINGUID") | up.contains("SIN DOCENCIA")
+
+
+def web_plan(courses: Column, title: Column) -> Column:
+    """A plan made of courses (array) from web pages: the credits of a Grado or of another title, the number, and the courses."""
+    total = F.when(F.lower(blank(title)).contains("grado"), "240").otherwise("60")
+    return F.struct(F.create_map(F.lit("Créditos Totales"), total).alias("resumen_creditos"), F.size(courses).alias("total_elementos"), courses.alias("elementos_curriculares"))
+
+
 def first_price(c: Column, patterns: list[str], low: float, high: float) -> Column:
     """The first pattern whose first match is a number in range; a match out of range isn't tried again."""
     return F.coalesce(*[price(F.regexp_extract(c, f"(?u){p}", 1), low, high) for p in patterns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from campusquery.functions import fixed
 from campusquery.functions.text import blank, field_pattern, zfill
 
 
@@ -42,6 +43,19 @@ def lookup(unis: DataFrame, code: str) -> DataFrame:
     return unis.filter((F.col("codigo") == padded) | (F.col("codigo") == code)).orderBy(F.when(F.col("codigo") == padded, 0).otherwise(1)).limit(1)
 
 
+def with_city(unis: DataFrame, *parts: str) -> DataFrame:
+    """``unis`` with the struct ``place`` (city, lat, lng): the first city whose key or province the texts ``parts`` hold, else Madrid.
+
+    The cities are one constant array, so the lookup is an expression and no join.
+    """
+    cities = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p.lower()).alias("province"), F.lit(n).alias("city"), F.lit(a).alias("lat"), F.lit(b).alias("lng")) for k, a, b, p, n in fixed.CITIES])
+    known = F.lower(F.concat_ws(" ", *[blank(F.col(c)) for c in parts]))
+    hit = F.get(F.filter(cities, lambda c: F.col("_text").contains(c["key"]) | F.col("_text").contains(c["province"])), F.lit(0))
+    madrid = next(k for k, c in enumerate(fixed.CITIES) if c[0] == "madrid")
+    rows = unis.withColumn("_text", known).withColumn("place", F.coalesce(hit, F.get(cities, F.lit(madrid))))
+    return rows.withColumn("place", F.struct(*[F.col(f"place.{c}") for c in ("city", "lat", "lng")])).drop("_text")
+
+
 def ratio(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.coalesce(F.round(F.try_divide(part, whole) * 100, digits), F.lit(0.0))
 

@@ -27,7 +27,8 @@ def number(c: Column) -> Column:
 def with_roles(rows: DataFrame, doc: str) -> DataFrame:
     """Rows but headers, with the place of each role's column: ``at`` in the whole table, ``at_subject_now`` as known at the row."""
     cells = F.transform("cells", lambda c: F.trim(F.regexp_replace(blank(c), r"\s+", " ")))
-    rows = rows.select(doc, "table", "row", cells.alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    # All windows and groups that follow are within a document; where rows already lie so, Spark leaves this shuffle out.
+    rows = rows.select(doc, "table", "row", cells.alias("cells")).filter(F.exists("cells", lambda c: c != "")).repartition(doc)
     rows = rows.withColumn("_header", has_any(F.lower(F.array_join("cells", " ")), fixed.GRID_HEADER))
 
     def role(c: Column) -> Column:
@@ -84,10 +85,16 @@ def valid_name(c: Column) -> Column:
     return ok & ~F.lower(F.trim(c)).isin(fixed.NO_COURSE_WORD)
 
 
+def table_signs(c: Column) -> list[Column]:
+    """Does a table's text, or a line of it, show courses, and a scale of marks."""
+    t = F.lower(blank(c))
+    return [has_any(t, fixed.COURSE_TABLE), has_any(t, fixed.MARKS_TABLE)]
+
+
 def valid_table(c: Column, inputs: Column) -> Column:
     """Is this text of a table (``inputs``: its form fields) one of courses, neither a form nor a scale of marks."""
-    t = F.lower(blank(c))
-    return (inputs == 0) & ~has_any(t, fixed.MARKS_TABLE) & has_any(t, fixed.COURSE_TABLE)
+    courses, marks = table_signs(c)
+    return (inputs == 0) & ~marks & courses
 
 
 def table_lines(rows: DataFrame, doc: str) -> DataFrame:
@@ -164,15 +171,17 @@ def degree_pages(pages: DataFrame, doc: str, title: str = "titulo", university:
     after = F.when(F.col("page") > 0, t).when(annex > 0, F.substr(t, annex)).when(signed != "", signed).otherwise(t)
     found = F.transform(F.flatten(F.array(*[F.regexp_extract_all(after, F.lit(f"(?iu){p}"), F.lit(0)) for p in fixed.SECTION_MARKERS])), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")))
     sets = F.transform(F.filter(found, lambda s: ~s.rlike(f"(?iu){fixed.PREAMBLE}")), lambda s: keywords(s, F.col(university)))
-    rows = pages.withColumns({"_sets": F.filter(sets, lambda s: F.size(s) > 0), "_target": keywords(F.col(title), F.col(university))})
-    whole = Window.partitionBy(doc)
-    by_size = F.array_sort(F.transform(F.flatten(F.collect_list("_sets").over(whole)), lambda s: F.struct(F.size(s).alias("n"), F.array_sort(s).alias("s"))))
-    rows = rows.withColumn("_all", by_size)
+    rows = pages.withColumns({"_sets": F.filter(sets, lambda s: F.size(s) > 0), "_target": keywords(F.col(title), F.col(university))}).repartition(doc)
+    # Once a document, not once a page: a list of all headings in each page's row would grow with the square of the pages.
+    by_size = F.array_sort(F.transform(F.flatten(F.collect_list("_sets")), lambda s: F.struct(F.size(s).alias("n"), F.array_sort(s).alias("s"))))
+    heads = rows.filter(F.size("_sets") > 0).groupBy(doc).agg(by_size.alias("_all"))
     apart = F.exists(F.sequence(F.lit(1), F.size("_all") - 1), lambda k: F.size(F.array_except(F.get("_all", (k - 1).cast("int"))["s"], F.get("_all", k.cast("int"))["s"])) > 0)
-    several = F.when(F.size("_all") >= 2, apart).otherwise(False) & (F.size("_target") > 0)
+    heads = heads.select(F.col(doc).alias("_doc"), F.when(F.size("_all") >= 2, apart).otherwise(False).alias("_apart"))
+    rows = rows.join(heads.hint("merge"), F.col(doc) == F.col("_doc"), "left")
+    several = F.coalesce("_apart", F.lit(False)) & (F.size("_target") > 0)
     heading = F.when(F.size("_sets") > 0, text.section_match(F.col("_target"), F.element_at("_sets", -1)))
-    now = F.coalesce(F.last(heading, ignorenulls=True).over(whole.orderBy("page").rowsBetween(*SO_FAR)), F.lit(False))
-    return rows.withColumn("included", ~several | now).drop("_sets", "_target", "_all")
+    now = F.coalesce(F.last(heading, ignorenulls=True).over(Window.partitionBy(doc).orderBy("page").rowsBetween(*SO_FAR)), F.lit(False))
+    return rows.withColumn("included", ~several | now).drop("_sets", "_target", "_doc", "_apart")
 
 
 def text_courses(docs: DataFrame, doc: str, body: str = "text") -> DataFrame:
@@ -196,7 +205,8 @@ def web_courses(tables: DataFrame, page: str) -> DataFrame:
     line = F.lower(F.array_join("cells", " "))
     rows = tables.withColumns({"_line": line, "_header": has_any(line, fixed.WEB_HEADER) & (F.size("cells") >= 2)})
     table = Window.partitionBy(page, "table")
-    real = (F.col("fields") == 0) & F.max(has_any(F.col("_line"), fixed.COURSE_TABLE)).over(table) & ~F.max(has_any(F.col("_line"), fixed.MARKS_TABLE)).over(table)
+    shows, marks = (F.max(x).over(table) for x in table_signs(F.col("_line")))  # as ``valid_table`` of the whole table, whose signs lie within lines
+    real = (F.col("fields") == 0) & shows & ~marks
 
     def role(c: Column) -> Column:
         chain = None

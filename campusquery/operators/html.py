@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from campusquery.functions.text import has_any
+from campusquery.functions import web
+from campusquery.functions.text import has_any, same_site, valid_link
 
 
 class Tables(HTMLParser):
@@ -140,6 +142,34 @@ def document_links(pages: DataFrame, key: str = "page_id", html: str = "html") -
     return pages.select(key, html).mapInPandas(run, f"{key} long, pos int, " + ", ".join(f"{n} string" for n in names[1:]))
 
 
+def site_links(pages: DataFrame, key: str = "page_id", html: str = "html", base: str = "url") -> DataFrame:
+    """(key, base, pos, url, label) of the pages' links that may lead to studies on the same site, with their whole addresses; in Arrow batches."""
+
+    def whole(at: str | None, href: str) -> str | None:
+        try:
+            return urljoin(at or "", href)
+        except ValueError:  # a host that is none, such as "http://["
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, at, pos, href, whole(at, href), label) for k, at, h in zip(b[key], b[base], b[html], strict=True) for pos, href, label, *_ in link_contexts(h)]
+            yield pd.DataFrame(rows, columns=[key, base, "pos", "href", "url" if base != "url" else "_url", "label"])
+
+    to = "url" if base != "url" else "_url"
+    rows = pages.select(key, base, html).mapInPandas(run, f"{key} long, {base} string, pos int, href string, {to} string, label string")
+    rows = rows.filter(valid_link(F.col("href")) & web.academic(F.col("href"), F.col("label")) & same_site(F.col(to), F.col(base)))
+    return rows.select(key, F.col(base).alias("base"), "pos", F.col(to).alias("url"), "label")
+
+
+def best_links(links: DataFrame, key: str, level: Column, keywords: list[str] = (), most: int = 12) -> DataFrame:
+    """(key, place, url, score): addresses by their best score for a level of study, ``most`` of a key; the first seen decides ties."""
+    scored = links.withColumn("_s", web.url_score(F.col("url"), F.col("label"), level, keywords))
+    best = scored.groupBy(key, "url").agg(F.max("_s").alias("score"), F.min("pos").alias("_pos"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "_pos"))
+    return best.withColumn("place", place).filter(F.col("place") <= most).select(key, "place", "url", "score")
+
+
 def link_rank(legend: Column, heading: Column, before: Column, around: Column) -> Column:
     """(priority, kind) of a document link by its context: changes of a plan 100, plans 90, agreements 10, regional steps 0, others 30."""
     legend, heading, before, around = (F.lower(F.coalesce(c, F.lit(""))) for c in (legend, heading, before, around))

@@ -71,14 +71,9 @@ def ilike_filter(spark, d):
     return universities(spark, d).filter(F.col("nombre").ilike("%000_1%")).select("codigo", "nombre")
 
 
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, {q(fixed.FIELDS[3][1])}, 'i')", views=False)
-def field_family_filter(spark, d):
-    return read(spark, d, "documents").filter(F.col("text").rlike(f"(?iu){text.field_pattern('Artes y Humanidades')}")).select("doc_id")
-
-
 @query("SELECT codigo_estudio FROM t WHERE codigo_estudio IN (SELECT codigo_estudio FROM a WHERE caracter = 'R')")
 def has_plan_semi(spark, d):
-    plans = courses(spark, d).filter("caracter = 'R'").select("codigo_estudio")
+    plans = courses(spark, d, names=False).filter("caracter = 'R'").select("codigo_estudio")
     return degrees(spark, d).join(plans, "codigo_estudio", "left_semi").select("codigo_estudio")
 
 
@@ -123,12 +118,6 @@ def ensure_https(spark, d):
     return read(spark, d, "pages").select("page_id", text.https(F.col("url")).alias("url"))
 
 
-@query("SELECT codigo_estudio, CASE WHEN contains(lower(nivel), 'urgent') THEN 'Doctorado' WHEN contains(lower(nivel), 'high') THEN 'Máster' ELSE 'Grado' END AS badge, estado = 'F' AS extinct FROM t")
-def level_badge(spark, d):
-    n = F.lower("nivel")
-    return degrees(spark, d).select("codigo_estudio", F.when(n.contains("urgent"), "Doctorado").when(n.contains("high"), "Máster").otherwise("Grado").alias("badge"), (F.col("estado") == "F").alias("extinct"))
-
-
 @query(f"SELECT doc_id, {sql_any('lower(text)', ['extin', 'suprim', 'no vigente'])} AS extinct FROM documents", views=False)
 def extinct_flag(spark, d):
     return read(spark, d, "documents").select("doc_id", text.has_any(F.lower("text"), ["extin", "suprim", "no vigente"]).alias("extinct"))
@@ -148,7 +137,7 @@ def active_degree_filter(spark, d):
 
 @query("SELECT count(DISTINCT a.codigo_estudio) AS with_courses, count(DISTINCT t.codigo_estudio) AS degrees, round(count(DISTINCT a.codigo_estudio) * 100.0 / count(DISTINCT t.codigo_estudio), 2)::DOUBLE AS pct FROM t LEFT JOIN a USING (codigo_estudio)")
 def coverage_ratio(spark, d):
-    both = degrees(spark, d).join(courses(spark, d).select(F.col("codigo_estudio").alias("p")).distinct(), F.col("codigo_estudio") == F.col("p"), "left")
+    both = degrees(spark, d).join(courses(spark, d, names=False).select(F.col("codigo_estudio").alias("p")).distinct(), F.col("codigo_estudio") == F.col("p"), "left")
     return both.agg(F.countDistinct("p").alias("with_courses"), F.countDistinct("codigo_estudio").alias("degrees")).select("*", catalog.ratio(F.col("with_courses"), F.col("degrees")).alias("pct"))
 
 
@@ -163,8 +152,8 @@ def distinct_regions(spark, d):
 
 
 @query("SELECT (SELECT count(*) FROM t) AS plan_rows, (SELECT count(DISTINCT codigo_estudio) FROM a) AS plans_with_courses")
-def plan_rows_vs_plans_with_courses(spark, d):
-    return degrees(spark, d).agg(F.count("*").alias("plan_rows")).join(courses(spark, d).agg(F.countDistinct("codigo_estudio").alias("plans_with_courses")), how="inner")
+def plan_rows_vs_plans_with_courses(spark, d, names=False):
+    return degrees(spark, d).agg(F.count("*").alias("plan_rows")).join(courses(spark, d, names=False).agg(F.countDistinct("codigo_estudio").alias("plans_with_courses")), how="inner")
 
 
 ECTS = "coalesce(sum(ects::DECIMAL(12,2)), 0)::DOUBLE"
@@ -318,22 +307,15 @@ def tier_price(spark, d):
     return degrees(spark, d).select("codigo_estudio", *[money.tier_price(k, base, zero, third, F.lit(None).cast("double")).alias(f"p{k}") for k in (1, 2, 3, 4)])
 
 
-@query("SELECT codigo_estudio, CASE WHEN codigo_estudio % 3 = 0 THEN NULL WHEN codigo_estudio % 3 = 1 THEN precio ELSE round(60 * (codigo_estudio % 50) + 45.0)::DOUBLE END AS anual FROM t")
-def display_annual_price(spark, d):
-    k = F.col("codigo_estudio") % 3
-    stored, unit = F.when(k == 1, F.col("precio")), F.when(k == 2, F.col("codigo_estudio") % 50)
-    return degrees(spark, d).select("codigo_estudio", F.coalesce(stored, F.round(60 * unit + 45.0)).cast("double").alias("anual"))
-
-
 # Tuition
 
 LINES = "x AS (SELECT *, row_number() OVER (PARTITION BY codigo_estudio ORDER BY orden, l_partkey, l_suppkey, l_extendedprice) AS i, least(orden, 4) AS tier FROM a)"
 
 
 @query(None)
-def preselect_courses(spark, d):
+def preselect_courses(spark, d, names=False):
     items = F.array_sort(F.collect_list(F.struct("orden", "l_partkey", "l_suppkey", "l_extendedprice", "ects")))
-    rows = courses(spark, d).groupBy("codigo_estudio").agg(items.alias("x"))
+    rows = courses(spark, d, names=False).groupBy("codigo_estudio").agg(items.alias("x"))
     numbered = F.transform("x", lambda x, i: F.struct((i + 1).alias("i"), x["ects"].alias("ects")))
     return rows.select("codigo_estudio", F.array_join(state.preselect(numbered), ",").alias("taken"))
 
@@ -348,7 +330,7 @@ SELECT codigo_estudio, max_by(taken, i) AS taken FROM r GROUP BY 1"""
 def preselect_plans(spark, d):
     """The preselection with its branch by year and its types; two of three plans have no years, and lines without a type stand for blank ones."""
     kind = F.when(F.col("caracter") == "A", "OB").when(F.col("caracter") == "R", "OP").when(F.col("l_partkey") % 2 == 0, "FB").otherwise("")
-    rows = courses(spark, d).withColumns({"caracter": kind, "curso": F.when(F.col("codigo_estudio") % 3 == 0, F.col("curso")).otherwise("")})
+    rows = courses(spark, d, names=False).withColumns({"caracter": kind, "curso": F.when(F.col("codigo_estudio") % 3 == 0, F.col("curso")).otherwise("")})
     items = F.array_sort(F.collect_list(F.struct("orden", "l_partkey", "l_suppkey", "l_extendedprice", "ects", "caracter", "curso")))
     numbered = F.transform("x", lambda x, i: F.struct((i + 1).alias("i"), x["ects"].alias("ects"), x["caracter"].alias("caracter"), x["curso"].alias("curso")))
     return rows.groupBy("codigo_estudio").agg(items.alias("x")).select("codigo_estudio", F.array_join(state.preselect_plan(numbered), ",").alias("taken"))
@@ -429,13 +411,6 @@ def tuition_reductions(spark, d):
     return rounded(w, "amount", "total")
 
 
-@query("SELECT codigo_estudio, round(60 * 16.8 * (CASE codigo_estudio % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 WHEN 2 THEN 3.0 ELSE 4.5 END), 2)::DOUBLE AS total, 10::BIGINT AS n FROM t")
-def flat_simulation(spark, d):
-    k = F.col("codigo_estudio") % 4
-    factor = F.when(k == 0, 1.0).when(k == 1, 1.5).when(k == 2, 3.0).otherwise(4.5)
-    return degrees(spark, d).select("codigo_estudio", F.round(60 * F.lit(money.DEFAULT_PRICE) * factor, 2).alias("total"), F.round(F.lit(60) / 6).cast("long").alias("n"))
-
-
 @query("SELECT codigo_estudio, curso, count(*) AS n, array_to_string(list_sort(list(nombre)), '|') AS nombres FROM a GROUP BY 1, 2")
 def courses_by_year(spark, d):
     return courses(spark, d).groupBy("codigo_estudio", "curso").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("nombre")), "|").alias("nombres"))
@@ -448,13 +423,9 @@ PLACES = ("Universidad de Cádiz", "Castilla y León", "Comunitat Valenciana", "
 
 
 def resolved(spark, d) -> DataFrame:
-    """Universities with the first city whose key or province their text holds; the 56 cities are one constant array."""
-    cities = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p.lower()).alias("province"), F.lit(n).alias("city"), F.lit(a).alias("lat"), F.lit(b).alias("lng")) for k, a, b, p, n in fixed.CITIES])
+    """Universities with the first city whose key or province their text holds."""
     place = F.get(F.array(*[F.lit(p) for p in PLACES]), (F.col("u_key") % len(PLACES)).cast("int"))
-    p = F.lower(place)
-    hit = F.get(F.filter(cities, lambda c: p.contains(c["key"]) | p.contains(c["province"])), F.lit(0))
-    madrid = F.get(cities, F.lit(1))
-    return universities(spark, d).withColumn("_c", F.coalesce(hit, madrid)).select("u_key", "_c.city", "_c.lat", "_c.lng")
+    return catalog.with_city(universities(spark, d).withColumn("lugar", place), "lugar").select("u_key", "place.*")
 
 
 PLACE_SQL = "lower([" + ", ".join(q(p) for p in PLACES) + f"][1 + (u_key % {len(PLACES)})::INTEGER])"
@@ -488,18 +459,6 @@ def top_viewed(spark, d):
     return universities(spark, d).join(views, "u_key", "left").select("u_key", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "u_key").limit(6)
 
 
-@query("SELECT round(count(*) FILTER (event_type = 'purchase') * 100.0 / count(*) FILTER (event_type = 'click'), 2)::DOUBLE AS pct FROM events", views=False)
-def conversion_ratio(spark, d):
-    c = read(spark, d, "events").agg(F.count_if(F.col("event_type") == "purchase").alias("a"), F.count_if(F.col("event_type") == "click").alias("b"))
-    return c.select(catalog.ratio(F.col("a"), F.col("b")).alias("pct"))
-
-
-@query("SELECT count(*) AS n, round(avg(value))::BIGINT AS mean_ms, round(count(*) FILTER (event_type = 'error') * 100.0 / count(*))::BIGINT AS error_pct FROM events", views=False)
-def latency_summary(spark, d):
-    e = read(spark, d, "events")
-    return e.agg(F.count("*").alias("n"), F.round(F.avg("value")).cast("long").alias("mean_ms"), F.round(F.count_if(F.col("event_type") == "error") * 100.0 / F.count("*")).cast("long").alias("error_pct"))
-
-
 @query("SELECT user_id, count(*) AS n, round(avg(value), 3) AS mean_ms, round(count(*) FILTER (event_type = 'error') * 100.0 / count(*), 2)::DOUBLE AS error_pct FROM events GROUP BY 1", views=False)
 def latency_by_domain(spark, d):
     return catalog.latency(read(spark, d, "events"), "user_id")
@@ -510,11 +469,6 @@ def recent_events(spark, d):
     return read(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id")
 
 
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20", views=False)
-def retention_200(spark, d):
-    return catalog.last_rows(read(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id")
-
-
 @query("SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2)::DOUBLE AS pct FROM events GROUP BY 1", views=False)
 def error_rate(spark, d):
     e = read(spark, d, "events")
@@ -550,7 +504,7 @@ def first_course_with_fill(spark, d):
 
 @query("SELECT codigo_estudio, orden, l_partkey FROM a QUALIFY max(orden) OVER (PARTITION BY codigo_estudio) > 0 AND row_number() OVER (PARTITION BY codigo_estudio ORDER BY orden DESC, l_partkey, l_suppkey, l_extendedprice) <= 3")
 def candidate_cap(spark, d):
-    return catalog.last_rows(courses(spark, d), ["codigo_estudio"], [F.desc("orden"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("codigo_estudio", "orden", "l_partkey")
+    return catalog.last_rows(courses(spark, d, names=False), ["codigo_estudio"], [F.desc("orden"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")], 3).select("codigo_estudio", "orden", "l_partkey")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events", views=False)
@@ -587,13 +541,6 @@ def nested_detail(spark, d):
     return out.select("codigo_estudio", "titulo", F.coalesce(F.size("c"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(F.transform("c", lambda x: x["nombre"]), "|"), F.lit("")).alias("cursos"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type AS extra FROM events", views=False)
-def map_merge_first_wins(spark, d):
-    old, new = F.from_json("props", "map<string,string>"), F.create_map(F.lit("k"), F.lit("later"), F.lit("extra"), F.col("event_type"))
-    merged = F.map_concat(old, F.map_filter(new, lambda k, _: ~F.map_contains_key(old, F.lit("k")) | (k != "k")))
-    return read(spark, d, "events").select("event_id", merged["k"].cast("bigint").alias("k"), merged["extra"].alias("extra"))
-
-
 # Upserts: even keys are stored, keys divisible by 3 arrive
 
 @query("""SELECT codigo_estudio, CASE WHEN codigo_estudio % 2 = 1 THEN titulo WHEN codigo_estudio % 3 = 0 AND codigo_estudio % 5 <> 0 THEN titulo || ' nuevo' ELSE titulo END AS titulo, CASE WHEN codigo_estudio % 2 = 1 THEN 0.0::DOUBLE ELSE precio END AS precio
@@ -645,26 +592,14 @@ def negative_cache_anti(spark, d):
     return p.join(p.filter("page_id % 5 = 0").select("url"), "url", "left_anti").groupBy("url").agg(F.count("*").alias("n"))
 
 
-@query("SELECT (SELECT count(*) FROM t WHERE u_key % 2 = 1) AS degrees, (SELECT count(*) FROM a JOIN t USING (codigo_estudio) WHERE u_key % 2 = 1) AS courses")
-def cascade_delete(spark, d):
-    gone = universities(spark, d).filter("u_key % 2 = 0").select("u_key")
-    left = degrees(spark, d).join(gone, "u_key", "left_anti").select("codigo_estudio")
-    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("codigo_estudio")).join(left, "codigo_estudio", "left_semi")
-    return left.agg(F.count("*").alias("degrees")).join(rows.agg(F.count("*").alias("courses")), how="inner")
-
-
 # Extraction
 
-@query("""WITH r AS (SELECT p_size::BIGINT AS page_id, [p_name, '6 ECTS'] AS cells, row_number() OVER (PARTITION BY p_size ORDER BY p_name || '<') AS i FROM part)
+@query("""WITH r AS (SELECT (p_partkey // 40)::BIGINT AS page_id, [p_name, '6 ECTS'] AS cells, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_name || '<') AS i FROM part)
 SELECT page_id, 0::INTEGER AS "table", i::INTEGER AS "row", cells FROM r UNION ALL SELECT DISTINCT page_id, 0, 0, ['Asignatura', 'Créditos'] FROM r""", views=False)
 def html_subjects(spark, d):
     """Cells of course tables set into pages made from the catalogue; the pages themselves hold no table."""
     row = F.concat(F.lit("<tr><td>"), "p_name", F.lit("</td><td>6 ECTS</td></tr>"))
-    pages = read(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.concat_ws("", F.lit("<table><tr><th>Asignatura</th><th>Créditos</th></tr>"), F.array_sort(F.collect_list(row)), F.lit("</table>")).alias("html"))
+    pages = read(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("page_id")).agg(F.concat_ws("", F.lit("<table><tr><th>Asignatura</th><th>Créditos</th></tr>"), F.array_sort(F.collect_list(row)), F.lit("</table>")).alias("html"))
     return html.extract_tables(pages).drop("fields")
 
 
-@query(LINKS_SQL + "SELECT page_id, max(10 + CASE WHEN contains(lower(href), 'grado') THEN 90 ELSE 0 END + CASE WHEN contains(lower(label), 'the') THEN 40 ELSE 0 END) AS score FROM l GROUP BY 1", views=False)
-def page_link_scores(spark, d):
-    score = F.lit(10) + F.when(F.lower("href").contains("grado"), 90).otherwise(0) + F.when(F.lower("label").contains("the"), 40).otherwise(0)
-    return html.links(read(spark, d, "pages")).groupBy("page_id").agg(F.max(score).alias("score"))

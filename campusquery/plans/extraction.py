@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from campusquery.functions import fixed, text, web
-from campusquery.operators import catalog, grid, html, state
+from campusquery.operators import grid, html, state
 from campusquery.sources import registry
 from campusquery.sources.tables import courses, read
 
@@ -47,15 +47,15 @@ def link_priority(spark, d):
     return read(spark, d, "events").select("event_id", html.link_rank(legend, nothing, legend, nothing)["priority"].alias("priority"))
 
 
-@query("""WITH p AS (SELECT p_size::BIGINT AS doc, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey)::INTEGER - 1 AS page, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS head FROM part),
+@query("""WITH p AS (SELECT (p_partkey // 40)::BIGINT AS doc, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey)::INTEGER - 1 AS page, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS head FROM part),
 m AS (SELECT doc, page, last_value(CASE WHEN head IS NOT NULL THEN contains(head, 'blue') OR contains(head, 'widget') END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now FROM p),
 n AS (SELECT doc, count(DISTINCT head) AS n FROM p GROUP BY 1)
 SELECT doc, page, n < 2 OR coalesce(now, false) AS included FROM m JOIN n USING (doc)""", views=False)
 def multi_degree_mask(spark, d):
     """Pages of documents on several degrees, those of one degree marked; a third of the pages has a heading."""
-    page = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")) - 1
+    page = F.row_number().over(Window.partitionBy(F.floor(F.col("p_partkey") / 40)).orderBy("p_partkey")) - 1
     body = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("ANEXO II: Grado en "), "p_name")).otherwise("sin nada")
-    rows = read(spark, d, "part").select(F.col("p_size").cast("long").alias("doc"), page.alias("page"), body.alias("text"), F.lit("Grado en blue widget").alias("titulo"), F.lit("Universidad").alias("universidad"))
+    rows = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).alias("doc"), page.alias("page"), body.alias("text"), F.lit("Grado en blue widget").alias("titulo"), F.lit("Universidad").alias("universidad"))
     return grid.degree_pages(rows, "doc").select("doc", "page", "included")
 
 
@@ -98,14 +98,14 @@ def line_course_fallback(spark, d):
     return grid.text_courses(docs, "codigo_estudio").drop("row")
 
 
-@query("""WITH r AS (SELECT p_size::BIGINT AS page_id, p_name AS nombre, (p_partkey % 70)::VARCHAR AS ects, CASE p_partkey % 3 WHEN 0 THEN 'FB' WHEN 1 THEN 'OP' ELSE 'OB' END AS caracter, '' AS curso,
-  row_number() OVER (PARTITION BY p_size, p_name ORDER BY p_partkey) AS i FROM part) SELECT page_id, nombre, ects, caracter, curso FROM r WHERE i = 1""", views=False)
+@query("""WITH r AS (SELECT (p_partkey // 40)::BIGINT AS page_id, p_name AS nombre, (p_partkey % 70)::VARCHAR AS ects, CASE p_partkey % 3 WHEN 0 THEN 'FB' WHEN 1 THEN 'OP' ELSE 'OB' END AS caracter, '' AS curso,
+  row_number() OVER (PARTITION BY p_partkey // 40, p_name ORDER BY p_partkey) AS i FROM part) SELECT page_id, nombre, ects, caracter, curso FROM r WHERE i = 1""", views=False)
 def html_courses(spark, d):
     k = F.col("p_partkey")
     row = F.concat(F.lit("<tr><td>"), k, F.lit("</td><td> "), "p_name", F.lit("</td><td>"), k % 70, F.lit("</td><td>"), F.when(k % 3 == 0, "Básica").when(k % 3 == 1, "Optativa").otherwise("OB"), F.lit("</td></tr>"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "")
     head = F.lit("<form><input></form><table><tr><th>Código</th><th>Asignatura</th><th>ECTS</th><th>Tipo</th></tr>")
-    pages = read(spark, d, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.concat(head, body, F.lit("</table><table><tr><td>ECTS</td><td><select></td></tr><tr><td>Otra cosa</td><td>6</td></tr></table>")).alias("html"))
+    pages = read(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("page_id")).agg(F.concat(head, body, F.lit("</table><table><tr><td>ECTS</td><td><select></td></tr><tr><td>Otra cosa</td><td>6</td></tr></table>")).alias("html"))
     return grid.web_courses(html.extract_tables(pages), "page_id").select("page_id", "nombre", "ects", "caracter", "curso")
 
 
@@ -128,20 +128,21 @@ def registry_degrees(spark, d):
     return registry.registry_degrees(rows, []).select("codigo_estudio", "titulo")
 
 
-@query("SELECT c_custkey::VARCHAR AS codigo, c_name AS nombre, row_number() OVER (ORDER BY CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END, c_custkey)::INTEGER AS lugar FROM customer WHERE c_custkey >= 100 AND c_custkey % 7 <> 0 ORDER BY lugar LIMIT 50", views=False)
+@query("SELECT CASE WHEN c_custkey < 100 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END AS codigo, c_name AS nombre FROM customer WHERE c_custkey % 7 <> 0", views=False)
 def registry_universities(spark, d):
-    k = F.col("c_custkey")
-    rows = read(spark, d, "customer").filter(k >= 100).select(k.alias("pos"), F.concat(k, F.lit(".0")).alias("CÃ³digo"), F.when(k % 7 != 0, F.col("c_name")).alias("Universidad"), F.when(k % 3 == 0, "Pública").otherwise("Privada").alias("Tipo"))
-    first = registry.registry_universities(rows).limit(50)
-    return first.select("codigo", "nombre", F.row_number().over(Window.orderBy(catalog.public_first(F.col("tipo")), "pos")).alias("lugar"))
+    """The registry's list as a whole, with padded codes; rows without a name are left out."""
+    return registry.registry_universities(registry_rows(spark, d)).select("codigo", "nombre")
 
 
-@query("SELECT CASE WHEN c_custkey < 100 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END AS codigo, c_name AS nombre FROM customer WHERE c_custkey % 7 <> 0", views=False)
-def registry_universities_all(spark, d):
-    """The whole list, with codes that are padded; ``registry_universities`` is its head above code 100."""
+@query("SELECT CASE WHEN c_custkey < 100 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END AS codigo FROM customer WHERE c_custkey % 7 <> 0 ORDER BY CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END, c_custkey LIMIT 50", views=False)
+def registry_first_universities(spark, d):
+    """The first 50 of the list: public ones, as listed."""
+    return registry.registry_universities(registry_rows(spark, d)).limit(50).select("codigo")
+
+
+def registry_rows(spark, d):
     k = F.col("c_custkey")
-    rows = read(spark, d, "customer").select(k.alias("pos"), F.concat(k, F.lit(".0")).alias("CÃ³digo"), F.when(k % 7 != 0, F.col("c_name")).alias("Universidad"), F.when(k % 3 == 0, "Pública").otherwise("Privada").alias("Tipo"))
-    return registry.registry_universities(rows).select("codigo", "nombre")
+    return read(spark, d, "customer").select(k.alias("pos"), F.concat(k, F.lit(".0")).alias("CÃ³digo"), F.when(k % 7 != 0, F.col("c_name")).alias("Universidad"), F.when(k % 3 == 0, "Pública").otherwise("Privada").alias("Tipo"))
 
 
 @query(f"WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'https://u.es/grados/' || page_id FROM pages) SELECT DISTINCT page_id, url FROM u WHERE {sql_any('lower(url)', fixed.STUDY_ADDRESS)}", views=False)
@@ -158,20 +159,28 @@ def flatten_metrics(spark, d):
 
 @query(None)
 def merge_plans(spark, d):
-    """Plans of degrees whose lines stand for documents, newest first; a fold over the few rows of a degree, many degrees to an Arrow batch."""
+    """Plans of degrees whose lines stand for documents, newest first; a fold over the few rows of a degree, many degrees to an Arrow batch.
+
+    A supplier's lines are a document; one of a supplier divisible by 13 is known as no plan.
+    """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             taken = []
             for code, items in zip(batch.codigo_estudio, batch["items"], strict=True):
-                docs = [{"courses": [{"nombre": r["nombre"], "ects": str(r["ects"]), "curso": r["curso"]} for r in g]} for _, g in groupby(items, key=lambda r: r["l_suppkey"])]
-                taken += [(code, k, c["nombre"], float(c["ects"])) for k, c in enumerate(state.merge_plans(docs, 120))]
+                taken += [(code, k, c["nombre"], float(c["ects"])) for k, c in enumerate(state.merge_plans(plan_documents(items), 120, {"0"})["courses"])]
             yield pd.DataFrame(taken, columns=["codigo_estudio", "pos", "nombre", "ects"])
 
     items = F.array_sort(F.collect_list(F.struct("l_suppkey", "orden", "l_partkey", "l_extendedprice", "nombre", "ects", "curso")))
     return courses(spark, d).groupBy("codigo_estudio").agg(items.alias("items")).mapInPandas(fold, "codigo_estudio long, pos int, nombre string, ects double")
 
 
+def plan_documents(items) -> list[dict]:
+    """Documents of a degree's lines, which lie in the order of their suppliers."""
+    groups = [(key, list(g)) for key, g in groupby(items, key=lambda r: r["l_suppkey"])]
+    return [{"hash": str(key % 13), "summary": {"Total": str(key)}, "courses": [{"nombre": r["nombre"], "ects": str(r["ects"]), "curso": r["curso"]} for r in g]} for key, g in groups]
+
+
 @query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s*\\(.*?\\)', '', 'g'))) AS k FROM documents", views=False)
 def name_keys(spark, d):
     return read(spark, d, "documents").select("doc_id", text.name_key(F.col("text")).alias("k"))

@@ -81,9 +81,3 @@ def document_candidates(links: DataFrame, key: str, most: int = 8) -> DataFrame:
     order = [F.desc("priority"), F.coalesce("date", F.lit("1970-01-01").cast("date")).desc(), F.col("pos")]
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("place", place).filter(F.col("place") <= most).select(key, "place", "url", "label", "date", "priority", "kind")
-
-
-def write_sheet(df: DataFrame, path: str) -> None:
-    """CSV with every cell quoted and none that a spreadsheet would run as a formula; the CSV writer doubles quotes."""
-    safe = [F.when(blank(F.col(c).cast("string")).rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), F.col(c).cast("string"))).otherwise(blank(F.col(c).cast("string"))).alias(c) for c in df.columns]
-    df.select(*safe).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)

@@ -19,11 +19,6 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def map_rows(text: DataFrame, value_schema: str) -> DataFrame:
-    """(key, value) of JSON objects that are maps, such as catalogues keyed by university; column ``value`` holds the text."""
-    return text.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("key", "value"))
-
-
 def universities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """codigo, nombre, tipo, provincia, ccaa: the customers with their nation and region."""
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
@@ -43,11 +38,13 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """codigo_estudio, orden, nombre, ects, caracter, cuatrimestre, curso: the lines, named by their part."""
-    lines, parts = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("codigo_estudio"), F.col("l_linenumber").alias("orden"), "l_partkey", "l_suppkey", "l_extendedprice", F.col("p_name").alias("nombre"),
+def courses(spark: SparkSession, sf_dir: str, names: bool = True) -> DataFrame:
+    """codigo_estudio, orden, nombre, ects, caracter, cuatrimestre, curso: the lines, named by their part, or without ``names`` as they are."""
+    lines = read(spark, sf_dir, "lineitem")
+    if names:
+        lines = lines.join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(
+        F.col("l_orderkey").alias("codigo_estudio"), F.col("l_linenumber").alias("orden"), "l_partkey", "l_suppkey", "l_extendedprice", *([F.col("p_name").alias("nombre")] if names else []),
         F.col("l_quantity").alias("ects"), F.col("l_returnflag").alias("caracter"), F.col("l_linestatus").alias("cuatrimestre"), (F.col("l_linenumber") % 6 + 1).cast("string").alias("curso"),
     )
 
