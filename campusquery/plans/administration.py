@@ -12,16 +12,7 @@ from campusquery.operators import admin, catalog, directory, html, load, metrics
 from campusquery.sources import files
 from campusquery.sources.tables import SQL_VIEWS, courses, degrees, read, universities
 
-from .catalogue import q, query, sql_any
-
-
-def pick(key: str, *forms) -> F.Column:
-    """One of the forms, in turn by a number column."""
-    return F.get(F.array(*[F.lit(x) for x in forms]), (F.col(key) % len(forms)).cast("int"))
-
-
-def sql_pick(key: str, *forms) -> str:
-    return "[" + ", ".join(q(x) if isinstance(x, str) else "NULL" if x is None else str(x) for x in forms) + f"][1 + ({key} % {len(forms)})::INTEGER]"
+from .catalogue import pick, q, query, sql_any, sql_pick
 
 
 # Directory

@@ -17,13 +17,6 @@ from campusquery.sources.tables import courses, read
 from .catalogue import LINKS_SQL, query, sql_any
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^http:', 'http:') WHEN 2 THEN 'https://www.boe.es/x' ELSE 'https://www.boe.es/a?b=' || page_id END AS url FROM pages", views=False)
-def normalize_url(spark, d):
-    k = F.col("page_id") % 4
-    raw = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("https://"), "url")).when(k == 2, "/x").otherwise(F.concat(F.lit("http://wwww.boe.es/a?b="), "page_id"))
-    return read(spark, d, "pages").select("page_id", web.normalize_url(raw).alias("url"))
-
-
 @query(LINKS_SQL + "SELECT page_id, pos, CASE page_id % 3 WHEN 0 THEN 100 + CASE WHEN contains(lower(href), 'the') OR contains(lower(label), 'the') THEN 40 ELSE 0 END WHEN 1 THEN 20 + CASE WHEN contains(lower(href), 'the') OR contains(lower(label), 'the') THEN 40 ELSE 0 END ELSE 60 + CASE WHEN contains(lower(href), 'the') OR contains(lower(label), 'the') THEN 40 ELSE 0 END END AS score FROM l", views=False)
 def url_score(spark, d):
     k = F.col("page_id") % 3
@@ -32,21 +25,6 @@ def url_score(spark, d):
     return rows.select("page_id", "pos", web.url_score(F.concat(prefix, "href"), F.col("label"), F.lit("Grado"), ["the"]).alias("score"))
 
 
-@query("SELECT event_id, [85.5, NULL, 90.0][1 + (event_id % 3)::INTEGER]::DOUBLE AS precio_1, [120.0, NULL, 90.0][1 + (event_id % 3)::INTEGER]::DOUBLE AS precio_2, [5130.0, NULL, 9800.0][1 + (event_id % 3)::INTEGER]::DOUBLE AS precio_anual FROM events", views=False)
-def private_price_extract(spark, d):
-    forms = F.array(*[F.lit(x) for x in ("Precio crédito: 85,50 €. Segunda matrícula 120 €", "sin datos", "90 € por crédito y cuota anual 9.800 €")])
-    p = web.private_prices(F.get(forms, (F.col("event_id") % 3).cast("int")))
-    return read(spark, d, "events").select("event_id", *[p[k].alias(k) for k in ("precio_1", "precio_2", "precio_anual")])
-
-
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 2 THEN 30 WHEN 3 THEN 10 ELSE 0 END AS priority FROM events", views=False)
-def link_priority(spark, d):
-    forms = F.array(*[F.lit(x) for x in ("Modificación", "Plan de Estudios", "BOE", "Acuerdo de Consejo de Ministros", "Autorización CCAA")])
-    legend = F.get(forms, (F.col("event_id") % 5).cast("int"))
-    nothing = F.lit(None).cast("string")
-    return read(spark, d, "events").select("event_id", html.link_rank(legend, nothing, legend, nothing)["priority"].alias("priority"))
-
-
 @query("""WITH p AS (SELECT (p_partkey // 40)::BIGINT AS doc, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey)::INTEGER - 1 AS page, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS head FROM part),
 m AS (SELECT doc, page, last_value(CASE WHEN head IS NOT NULL THEN contains(head, 'blue') OR contains(head, 'widget') END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now FROM p),
 n AS (SELECT doc, count(DISTINCT head) AS n FROM p GROUP BY 1)

@@ -8,6 +8,7 @@ from campusquery.functions import money, text
 from campusquery.operators import catalog, html, state
 import campusquery.plans.administration  # noqa: F401  (registers its queries)
 import campusquery.plans.extraction  # noqa: F401  (registers its queries)
+import campusquery.plans.rules  # noqa: F401  (registers its queries)
 from campusquery.plans.catalogue import ORACLE_SQL, QUERIES
 
 
