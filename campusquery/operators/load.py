@@ -9,7 +9,8 @@ from campusquery.functions import fixed
 from campusquery.functions.dates import plain_date
 from campusquery.functions.text import blank, zfill
 
-from .state import given
+from .admin import MARK
+from .state import given, insert_only, new_errors, new_reports, prune, upsert
 
 PRICES = {"precio_credito_ects": "double", "precio_credito_2": "double", "precio_credito_3": "double", "precio_credito_4": "double", "precio_estimado_anual": "double", "fuente_precio": "string"}
 META = ("boe_url", "boe_fecha", "origen_fuente", "pdf_sha256")
@@ -102,3 +103,26 @@ def newest_first(files: DataFrame, by: str, order: list[Column]) -> DataFrame:
     rows = files.withColumn("place", F.row_number().over(w.orderBy(*order)))
     first = F.min(F.when(F.col("fetched"), F.col("place"))).over(w)
     return rows.withColumn("latest", F.coalesce(F.col("fetched") & (F.col("place") == first), F.lit(False)))
+
+
+def sync(stored: dict[str, DataFrame], news: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables after a load of what a crawl has brought; what ``news`` lacks stays as it is.
+
+    Universities are only added; degrees are added or merged, unless kept by hand, and go where the registry no longer
+    has them; then come the plan files, and last errors and reports that are new.
+    """
+    out = dict(stored)
+    if "universities" in news:
+        out["universities"] = insert_only(out["universities"], with_rows(out["universities"].limit(0), news["universities"]), "codigo")
+    if "degrees" in news:
+        new = news["degrees"]
+        merged = [c for c in ("titulo", *PRICES) if c in new.columns]
+        rows = upsert(out["degrees"], new, "codigo_estudio", merged, ["nivel_academico", "estado"], MARK)
+        out["degrees"] = prune(rows, new, "codigo_estudio", protected=MARK)
+    if "files" in news:
+        out |= load_plans(news["files"], *[out[t] for t in ("universities", "degrees", "plans", "summaries", "courses")])
+    if "errors" in news:
+        out["errors"] = with_rows(out["errors"], new_errors(out["errors"], news["errors"], ["id_entidad", "motivo_fallo", "timestamp"], "pos"))
+    if "reports" in news:
+        out["reports"] = with_rows(out["reports"], new_reports(out["reports"], news["reports"], "timestamp_reporte", "pos"))
+    return out

@@ -299,6 +299,31 @@ def plan_load_courses(spark, d):
     return loaded(spark, d, "courses").groupBy("codigo_estudio", "nombre_elemento").agg(F.count("*").cast("int").alias("n"))
 
 
+@query("""SELECT 'universities' AS what, (SELECT count(*) FROM u WHERE u_key % 3 <> 0 OR u_key % 4 = 0 OR u_key IN (SELECT u_key FROM t WHERE codigo_estudio % 35 = 0 AND codigo_estudio % 4 <> 0)) AS n
+UNION ALL SELECT 'degrees', (SELECT count(*) FROM t WHERE codigo_estudio % 7 <> 0 OR (codigo_estudio % 2 = 0 AND codigo_estudio % 14 = 0 AND codigo_estudio % 4 = 0) OR codigo_estudio % 5 = 0)
+UNION ALL SELECT 'renamed', (SELECT count(*) FROM t WHERE codigo_estudio % 2 = 0 AND codigo_estudio % 4 <> 0 AND codigo_estudio % 7 <> 0)
+UNION ALL SELECT 'courses', (SELECT sum(CASE WHEN codigo_estudio % 10 = 0 THEN CASE WHEN codigo_estudio % 30 = 0 THEN 4 ELSE 2 END WHEN codigo_estudio % 4 = 0 AND codigo_estudio % 5 <> 0 THEN 1 ELSE 0 END)::BIGINT FROM t)
+UNION ALL SELECT 'errors', (SELECT count(DISTINCT (user_id, event_type)) + 1 FROM events WHERE NOT (user_id = 3 AND event_type = 'click')) UNION ALL SELECT 'reports', (SELECT count(DISTINCT ts::DATE) FROM events)""")
+def sync(spark, d):
+    """Sizes of the tables after a whole load, in which all parts take part."""
+    t, u, e, s = degrees(spark, d), universities(spark, d), read(spark, d, "events"), stored(spark, d)
+    k = F.col("codigo_estudio")
+    known = s["degrees"].withColumn(admin.MARK, k.cast("bigint") % 4 == 0)
+    new = t.filter("codigo_estudio % 7 <> 0").join(u.select("u_key", "codigo"), "u_key").select(k.cast("string").alias("codigo_estudio"), F.concat("titulo", F.lit(" nuevo")).alias("titulo"), F.col("nivel").alias("nivel_academico"), "estado", F.col("codigo").alias("universidad_codigo"))
+    errors = e.select("event_id", F.col("user_id").cast("string").alias("id_entidad"), F.col("event_type").alias("motivo_fallo"), F.lit(None).cast("timestamp").alias("timestamp"), F.col("event_id").alias("pos"))
+    reports = e.select(F.to_date("ts").alias("timestamp_reporte"), F.col("event_id").alias("pos"))
+    old = spark.createDataFrame([("3", "click", None)], "id_entidad string, motivo_fallo string, timestamp timestamp")
+    before = {"universities": s["unis"], "degrees": known, "plans": s["plans"], "summaries": s["summaries"], "courses": s["courses"], "errors": old, "reports": reports.limit(0)}
+    news = {"universities": u.filter("u_key % 4 = 0").select("codigo", "nombre"), "degrees": new, "files": plan_documents(spark, d), "errors": errors, "reports": reports}
+    after = load.sync(before, news)
+    renamed = after["degrees"].filter((k.cast("bigint") % 2 == 0) & F.col("titulo").endswith(" nuevo"))
+    sizes = [x.agg(F.count("*").alias("n")).select(F.lit(w).alias("what"), "n") for w, x in {n: after[n] for n in ("universities", "degrees", "courses", "errors", "reports")}.items()]
+    out = renamed.agg(F.count("*").alias("n")).select(F.lit("renamed").alias("what"), "n")
+    for x in sizes:
+        out = out.union(x)
+    return out
+
+
 @query(f"""SELECT codigo_estudio, CASE WHEN tipo = 'Pública' AND codigo_estudio % 2 = 0 THEN CASE WHEN codigo_estudio % 4 = 0 THEN NULL ELSE 12.5 END ELSE 7.0 END::DOUBLE AS precio_credito_ects,
   CASE WHEN codigo_estudio % 2 = 1 THEN CASE WHEN codigo_estudio % 3 = 0 THEN 'propia' END WHEN tipo = 'Pública' THEN 'oficial' WHEN codigo_estudio % 3 = 0 THEN 'propia' ELSE {q(fixed.PRICE_SOURCE['private'])} END AS fuente_precio FROM t JOIN u USING (u_key)""")
 def apply_prices(spark, d):

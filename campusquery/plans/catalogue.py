@@ -70,6 +70,13 @@ def degree_by_code(spark, d):
     return catalog.lookup(universities(spark, d), "7").select("codigo", "nombre", "tipo", "provincia", "ccaa")
 
 
+@query("SELECT codigo, nombre FROM (SELECT CASE WHEN u_key % 2 = 0 THEN codigo ELSE u_key::VARCHAR END AS codigo, nombre FROM u) WHERE codigo = '7'")
+def degree_by_raw_code(spark, d):
+    """A code that is stored without zeros is found as it was given, since no padded one is there."""
+    u = universities(spark, d).withColumn("codigo", F.when(F.col("u_key") % 2 == 0, F.col("codigo")).otherwise(F.col("u_key").cast("string")))
+    return catalog.lookup(u, "7").select("codigo", "nombre")
+
+
 @query("SELECT t.codigo_estudio, titulo, estado FROM t JOIN u USING (u_key) WHERE codigo = '007'")
 def degrees_of_university(spark, d):
     return degrees(spark, d).join(catalog.lookup(universities(spark, d), "7"), "u_key").select("codigo_estudio", "titulo", "estado")
@@ -251,18 +258,29 @@ def credit_summary_regex(spark, d):
 
 # Tariffs
 
-TARIFF_SQL = "k (k, ccaa, p1, p2, p3, p4, fees, decree) AS (VALUES " + ", ".join(f"({k}, {q(name)}, {', '.join(map(str, x[0]))}, {x[4]}, {q(x[5])})" for k, (name, x) in enumerate(fixed.TARIFFS.items())) + ")"
+
+LEVELS = ["Grado", "Máster - RD 822", "Doctorado", "431 master", "Otro", "RD 560", "900"]
+TITLES = ["Historia", "Abogacía", "Doctor en Arte", "Formación del Profesorado", "Física"]
+NEAR = ["Andalucía", "Comunidad de Madrid (Región)", "Galicia", "Mar", "Marte", "Rioja", "Bale", ""]
+PLACE = [*fixed.TARIFFS, *NEAR]
+TARIFF_SQL = "k (k, r, cat, p1, p2, p3, p4, fees, decree) AS (VALUES " + ", ".join(
+    f"({k}, {q(name)}, {q(cat)}, {', '.join(map(str, p))}, {x[4]}, {q(x[5])})" for k, (name, x) in enumerate(fixed.TARIFFS.items()) for cat, p in [*zip(("Grado", "MH", "MN"), x[:3], strict=True), ("D", (x[3], "NULL", "NULL", "NULL"))]
+) + ")"
+REGION_SQL = "CASE WHEN raw = '' THEN '' " + " ".join("WHEN " + " AND ".join(sql_any("lower(trim(raw))", g) for g in groups) + f" THEN {q(name)}" for groups, name in fixed.REGIONS) + " ELSE raw END"
 
 
-@query(f""", {TARIFF_SQL}
-SELECT codigo_estudio, titulo, nivel, tipo, k.ccaa, {', '.join(f"CASE WHEN tipo = 'Pública' THEN p{i} END::DOUBLE AS precio_{i}" for i in (1, 2, 3, 4))}, CASE WHEN tipo = 'Pública' THEN 60 * p1 + fees END::DOUBLE AS precio_anual,
-  CASE WHEN tipo = 'Pública' THEN {q(fixed.PRICE_SOURCE['official'])} || decree ELSE {q(fixed.PRICE_SOURCE['private'])} END AS fuente_precio
-FROM t JOIN u USING (u_key) JOIN k ON k.k = u_key % {len(fixed.TARIFFS)}""")
+@query(f""", {TARIFF_SQL},
+x AS (SELECT codigo_estudio, tipo, {sql_pick('codigo_estudio', *LEVELS)} AS nivel, {sql_pick('codigo_estudio', *TITLES)} AS titulo, {sql_pick('u_key', *PLACE)} AS raw FROM t JOIN u USING (u_key)),
+y AS (SELECT *, {REGION_SQL} AS name, CASE WHEN {sql_any('lower(nivel)', ['doctorado', '560', '900'])} OR contains(lower(titulo), 'doctor') THEN 'D' WHEN {sql_any('lower(nivel)', ['máster', 'master', '431'])} THEN CASE WHEN {sql_any('lower(titulo)', fixed.REGULATED_MASTERS)} THEN 'MH' ELSE 'MN' END ELSE 'Grado' END AS cat FROM x),
+m AS (SELECT *, (SELECT min(k) FROM k WHERE k.r = y.name) AS same, (SELECT min(k) FROM k WHERE y.name <> '' AND (contains(lower(k.r), lower(y.name)) OR contains(lower(y.name), lower(k.r)))) AS near FROM y)
+SELECT codigo_estudio, raw AS ccaa, {', '.join(f"CASE WHEN tipo = 'Pública' THEN p{i} END::DOUBLE AS precio_{i}" for i in (1, 2, 3, 4))}, CASE WHEN tipo = 'Pública' THEN CASE WHEN m.cat = 'D' THEN p1 ELSE 60 * p1 END + fees END::DOUBLE AS precio_anual,
+  CASE WHEN tipo <> 'Pública' THEN {q(fixed.PRICE_SOURCE['private'])} WHEN decree IS NULL THEN replace({q(fixed.PRICE_SOURCE['unknown'])}, '%s', CASE WHEN raw = '' THEN 'Sin CCAA' ELSE raw END) ELSE {q(fixed.PRICE_SOURCE['official'])} || decree END AS fuente_precio
+FROM m LEFT JOIN k ON k.k = coalesce(same, near) AND k.cat = m.cat""")
 def degree_price(spark, d):
-    """Tariffs of all degrees, region by region of the catalogue; other categories are held to literal expectations in the tests."""
-    names = F.array(*[F.lit(x) for x in fixed.TARIFFS])
-    u = universities(spark, d).select("u_key", "tipo", F.get(names, (F.col("u_key") % len(fixed.TARIFFS)).cast("int")).alias("ccaa"))
-    priced = money.degree_price(degrees(spark, d).join(u, "u_key").select("codigo_estudio", "titulo", "nivel", "tipo", "ccaa"), "ccaa", "tipo", "nivel", "titulo")
+    """Tariffs of all degrees: every category, and regions by their name, by part of it, and unknown."""
+    u = universities(spark, d).select("u_key", "tipo", pick("u_key", *PLACE).alias("ccaa"))
+    rows = degrees(spark, d).join(u, "u_key").select("codigo_estudio", pick("codigo_estudio", *TITLES).alias("titulo"), pick("codigo_estudio", *LEVELS).alias("nivel"), "tipo", "ccaa")
+    priced = money.degree_price(rows, "ccaa", "tipo", "nivel", "titulo").drop("titulo", "nivel", "tipo")
     return priced.withColumns({c: F.col(c).cast("double") for c in priced.columns if c.startswith("precio_")})
 
 

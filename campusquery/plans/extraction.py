@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from campusquery.functions import fixed, text, web
-from campusquery.operators import grid, html, state
+from campusquery.operators import catalog, grid, html, state
 from campusquery.sources import registry
 from campusquery.sources.tables import courses, read
 
@@ -168,3 +168,49 @@ def name_keys(spark, d):
 def top_types_by_user(spark, d):
     n = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return n.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type"))).filter("place <= 2")
+
+
+def registry_pages(spark, d):
+    """The registry's lists as web pages of some rows, with a row of headings that is repeated."""
+    k = F.col("c_custkey")
+    cell = lambda *cs: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td> "), c.cast("string"), F.lit(" </td>")) for c in cs], F.lit("</tr>"))
+    line = cell(k, F.col("c_name"), F.when(k % 3 == 0, "Pública").otherwise("Privada"))
+    pages = read(spark, d, "customer").groupBy(F.floor(k / 25).alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, line.alias("l")))), lambda x: x["l"]), "").alias("body"))
+    head = "<tr><th>Código</th><th>Universidad</th><th>Tipo</th></tr>"
+    return pages.select("page_id", F.concat(F.lit(f"<p>x</p><table>{head}"), "body", F.lit(f"{head}<tr><td>corta</td></tr></table><table><tr><td>Código</td><td>otra</td></tr></table>")).alias("html"))
+
+
+@query("SELECT (c_custkey // 25)::BIGINT AS page_id, row_number() OVER (PARTITION BY c_custkey // 25 ORDER BY CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END, c_custkey)::INTEGER AS place, lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INTEGER, '0') AS codigo, c_name AS nombre FROM customer", views=False)
+def registry_pages_universities(spark, d):
+    """Universities from the registry's lists where these came as web pages."""
+    rows = registry.from_html(registry_pages(spark, d)).withColumn("pos", F.col("page_id") * 10_000 + F.col("pos"))
+    out = registry.registry_universities(rows)
+    place = F.row_number().over(Window.partitionBy(F.floor(F.col("pos") / 10_000)).orderBy(catalog.public_first(F.col("tipo")), "pos"))
+    return out.select(F.floor(F.col("pos") / 10_000).alias("page_id"), place.alias("place"), "codigo", "nombre")
+
+
+@query("SELECT (p_partkey // 25)::BIGINT AS page_id, max(p_partkey)::VARCHAR AS codigo_estudio, 'Grado en ' || p_name AS titulo FROM part WHERE p_partkey % 4 <> 1 GROUP BY 1, p_name", views=False)
+def registry_pages_degrees(spark, d):
+    """Active degrees, the latest of a title, of each page of the registry's list."""
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("<tr><td>"), k, F.lit("</td><td>Grado en "), "p_name", F.lit("</td><td>"), F.when(k % 4 == 1, "Extinguida").otherwise("Vigente"), F.lit("</td></tr>"))
+    pages = read(spark, d, "part").groupBy(F.floor(k / 25).alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, line.alias("l")))), lambda x: x["l"]), "").alias("body"))
+    pages = pages.select("page_id", F.concat(F.lit("<table><tr><th>Código</th><th>Título</th><th>Estado</th></tr>"), "body", F.lit("</table>")).alias("html"))
+    return registry.registry_degrees(registry.from_html(pages), ["page_id"]).select("page_id", "codigo_estudio", "titulo")
+
+
+@query("""SELECT page_id, place, v.url, priority, dated FROM pages, (VALUES (1, 'https://www.boe.es/boe/dias/2012/01/02/x.pdf', 100, true), (2, 'https://www.boe.es/y.pdf', 90, false)) v (place, url, priority, dated) WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 1, 'https://www.boe.es/boe/dias/2015/03/04/w.pdf', 30, true FROM pages WHERE page_id % 2 = 1""", views=False)
+def detail_documents(spark, d):
+    """Ranked documents of degrees' pages, by what stands around their links."""
+    rich = "<fieldset><legend>Modificación</legend><a href='/boe/dias/2012/01/02/x.pdf'>BOE</a></fieldset><strong>Plan de estudios</strong><a href='/y.pdf'>BOE</a><strong>Acuerdo de Consejo de Ministros</strong><a href='/z.pdf'>BOE</a><strong>Plan de estudios</strong><a href='/boe/dias/2007/01/02/old.pdf'>BOE</a>"
+    poor = "<p>Boletín</p><a href='/boe/dias/2015/03/04/w.pdf'>BOE</a><a href='/nada'>nada</a>"
+    pages = read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, rich).otherwise(poor).alias("html"))
+    found = registry.document_candidates(html.document_links(pages), "page_id")
+    return found.select("page_id", "place", "url", "priority", F.col("date").isNotNull().alias("dated"))
+
+
+@query("SELECT p_partkey, list_filter(regexp_extract_all(lower('Grado en ' || p_name || ' con Máster Universidad de ' || p_type), '[a-záéíóúñ]{4,}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in fixed.COMMON_TITLE_WORDS) + "], w))[:3] AS words FROM part", views=False)
+def title_words(spark, d):
+    title = F.concat(F.lit("Grado en "), "p_name", F.lit(" con Máster Universidad de "), "p_type")
+    return read(spark, d, "part").select("p_partkey", registry.title_words(title).alias("words"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,3 +126,17 @@ def write_single(lines: DataFrame, path: str) -> None:
             raise OSError(f"can't put a file at {path}")
     finally:
         fs.delete(staged, True)
+
+
+@contextmanager
+def sole_writer(spark: SparkSession, path: str, stale: float = 6 * 3600) -> Iterator[None]:
+    """Holds the lock file ``path`` while a load runs; raises where another holds it. One older than ``stale`` seconds was left by a writer that died."""
+    p, fs = file_system(spark, path)
+    if fs.exists(p) and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > stale:
+        fs.delete(p, False)
+    if not fs.createNewFile(p):  # atomic
+        raise BlockingIOError(f"another load holds {path}")
+    try:
+        yield
+    finally:
+        fs.delete(p, False)

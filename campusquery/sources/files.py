@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from campusquery.functions.dates import iso_time
 from campusquery.functions.text import blank
 
 from .tables import read_json
@@ -19,8 +20,7 @@ PLAN = (
 
 def plan_files(spark: SparkSession, folder: str) -> DataFrame:
     """Plan documents of a folder, with the name of each one's ``file``; one that can't be read is left out, as an empty default is."""
-    rows = read_json(spark, f"{folder}/*.json", PLAN).withColumn("file", F.col("_metadata.file_name"))
-    return rows.filter("_corrupt is null").drop("_corrupt")
+    return read_json(spark, f"{folder}/*.json", PLAN).drop("pos")
 
 
 def degree_lists(text: DataFrame) -> DataFrame:
@@ -31,6 +31,20 @@ def degree_lists(text: DataFrame) -> DataFrame:
     return rows.select("codigo", F.posexplode("u.titulaciones_vigentes").alias("pos", "d")).select("codigo", "pos", "d.*")
 
 
+STATE = "universities_downloaded boolean, processed_universities array<string>, processed_degrees map<string,string>, non_study_plan_pdfs array<string>, failed_pdf_downloads map<string,string>"
+ERROR = "timestamp string, fase string, id_entidad string, url string, motivo_fallo string, detalles_excepcion string"
+
+
+def checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """The crawler's state; no row where the document can't be read."""
+    return read_json(spark, path, STATE).drop("file", "pos")
+
+
+def error_log(spark: SparkSession, path: str) -> DataFrame:
+    """The crawler's errors (a list of objects) with ``pos``, their times read; none where the document can't be read."""
+    return read_json(spark, path, ERROR).drop("file").withColumn("timestamp", iso_time(F.col("timestamp")))
+
+
 def needs_reading(text: Column) -> Column:
     """Does a document's text layer hold so little that its pictures would have to be read."""
     return F.length(F.trim(blank(text))) < 50

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from campusquery.functions.text import zfill
 
@@ -15,8 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents; one that can't be read gives a row of nulls with its text in ``_corrupt``."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    """``file`` and the fields of each JSON document, one a file, or of each object where a document is a list (``pos``); one that can't be read gives no row."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    kind = StructType.fromDDL(f"{schema}, _corrupt string")
+    objects = F.from_json("value", ArrayType(kind), {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = text.select("file", F.posexplode(objects).alias("pos", "x"))
+    return rows.filter(F.col("x").isNotNull() & F.col("x._corrupt").isNull()).select("file", "pos", "x.*").drop("_corrupt")
 
 
 def universities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,3 +247,26 @@ def test_course_tables_shuffle_once(spark):
     assert exchanges(grid.courses(grid.table_lines(raw, "doc"), "doc")) == 1
     pages = spark.createDataFrame([(k % 7, k, "ANEXO", "t", "u") for k in range(40)], "doc long, page int, text string, titulo string, universidad string")
     assert exchanges(grid.degree_pages(pages, "doc")) <= 2
+
+
+def test_one_load_at_a_time(spark, tmp_path):
+    lock = str(tmp_path / "lock")
+    with sinks.sole_writer(spark, lock):
+        with pytest.raises(BlockingIOError), sinks.sole_writer(spark, lock):
+            pass
+        assert os.path.exists(lock)
+    assert not os.path.exists(lock)
+    (tmp_path / "lock").write_text("")
+    os.utime(lock, (0, 0))
+    with sinks.sole_writer(spark, lock):
+        pass
+
+
+def test_documents_of_the_crawler(spark, tmp_path):
+    (tmp_path / "state.json").write_text(json.dumps({"processed_universities": ["1", "2"], "processed_degrees": {"a": {"boe_url": "u"}}, "non_study_plan_pdfs": [], "x": 1}, indent=1))
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "errors.json").write_text(json.dumps([{"timestamp": "2024-05-06T07:08:09", "id_entidad": "1"}, {"timestamp": "ayer", "fase": "f"}], indent=1))
+    assert rows(metrics.checkpoint_sizes(files.checkpoint(spark, str(tmp_path / "state.json"))), "universities", "degrees", "rejected", "failed") == [(2, 1, 0, 0)]
+    assert files.checkpoint(spark, str(tmp_path / "broken.json")).count() == files.error_log(spark, str(tmp_path / "broken.json")).count() == 0
+    got = files.error_log(spark, str(tmp_path / "errors.json")).orderBy("pos").collect()
+    assert [(str(r.timestamp), r.fase, r.id_entidad) for r in got] == [("2024-05-06 07:08:09", None, "1"), ("None", "f", None)]
