@@ -22,13 +22,16 @@ KEY = ["_k1", "_k2"]
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of eight words found twice or more; the first find counts too.
 
-    Windows are compared by 64-bit hashes. Only a text with equal hashes sorts them by (hash, place);
-    each place then covers the words up to the next one, eight at most.
+    Windows are compared by 64-bit hashes, those of 2, 4 and 8 words made of pairs of the next shorter ones. Only a text with
+    equal hashes sorts them by (hash, place); each place then covers the words up to the next one, eight at most.
     """
-    grams = F.when(
-        F.size(words) >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def pairs(h: Column, apart: int) -> Column:
+        """Hashes of each value and that ``apart`` places on; the last ``apart`` mean nothing."""
+        return let(h, lambda a: F.zip_with(a, F.slice(a, apart + 1, F.greatest(F.size(a), F.lit(1))), lambda x, y: F.xxhash64(x, y)))
+
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    grams = F.when(F.size(words) >= WINDOW, F.slice(pairs(pairs(pairs(single, 1), 2), 4), 1, F.size(words) - (WINDOW - 1))).otherwise(F.array().cast("array<bigint>"))
 
     def covered(g: Column) -> Column:
         pairs = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
