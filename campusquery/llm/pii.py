@@ -115,21 +115,21 @@ class Tagger:
         self.mask = allowed().astype(np.float32)
 
     def lstm(self, x: np.ndarray, d: str, keep: bool = False):
-        """States (steps, rows, hidden) over classes x (steps, rows), in the order given."""
-        table = self.p["e"] @ self.p[f"w{d}"] + self.p[f"b{d}"]
-        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
-        states, past = np.empty((*x.shape, HIDDEN), np.float32), []
+        """States (steps, rows, hidden) over classes x (steps, rows), in the order given; with ``keep``, also gates, candidates, cells and their tanh."""
+        into = (self.p["e"] @ self.p[f"w{d}"] + self.p[f"b{d}"])[x]
+        h = c = np.zeros((x.shape[1], HIDDEN), into.dtype)
+        states = np.empty((*x.shape, HIDDEN), into.dtype)
+        past = (np.empty((*x.shape, 3 * HIDDEN), into.dtype), *(np.empty_like(states) for _ in range(3))) if keep else ()
         for t in range(len(x)):
-            z = table[x[t]] + h @ self.p[f"u{d}"]
+            z = into[t] + h @ self.p[f"u{d}"]
             s = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-            i, g, o, n = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
-            old, was = c, h
-            c = g * c + i * n
+            n = np.tanh(z[:, 3 * HIDDEN :])
+            c = s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * n
             k = np.tanh(c)
-            h = o * k
+            h = s[:, 2 * HIDDEN :] * k
             states[t] = h
-            if keep:
-                past.append((i, g, o, n, old, k, was))
+            for kept, value in zip(past, (s, n, c, k), strict=False):
+                kept[t] = value
         return (states, past) if keep else states
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
@@ -152,44 +152,45 @@ class Tagger:
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log-likelihood per character, by forward-backward and back-propagation."""
+        """Of the mean negative log-likelihood per character, by forward-backward (scaled at each step) and back-propagation."""
         p, steps, rows = self.p, *x.shape
         (hf, pf), (hb, pb) = self.lstm(x, "f", True), self.lstm(x[::-1], "b", True)
         h = np.concatenate([hf, hb[::-1]], 2)
-        e, trans = h @ p["o"] + p["c"], p["t"] + self.mask
-        lse = lambda a, k: (m := a.max(k, keepdims=True)).squeeze(k) + np.log(np.exp(a - m).sum(k))
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0] + trans[LABELS]
-        for t in range(1, steps):
-            alpha[t] = e[t] + lse(alpha[t - 1][:, :, None] + trans[:LABELS], 1)
+        e, trans = (h @ p["o"] + p["c"]).astype(np.float64), (p["t"] + self.mask).astype(np.float64)
+        own, go = np.exp(e - e.max(2, keepdims=True)), np.exp(trans[:LABELS])
+        alpha, beta, scale = np.empty_like(own), np.ones_like(own), np.empty((steps, rows, 1))
+        for t in range(steps):
+            now = own[t] * (alpha[t - 1] @ go if t else np.exp(trans[LABELS]))
+            scale[t] = np.maximum(now.sum(1, keepdims=True), 1e-300)
+            alpha[t] = now / scale[t]
         for t in range(steps - 2, -1, -1):
-            beta[t] = lse(trans[:LABELS] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
-        de = np.exp(alpha + beta - z[:, None])
-        gt = np.zeros_like(p["t"])
+            beta[t] = (own[t + 1] * beta[t + 1] / scale[t + 1]) @ go.T
+        de, gt = alpha * beta, np.zeros((LABELS + 1, LABELS))
         gt[LABELS] = de[0].sum(0)
-        for t in range(1, steps):
-            gt[:LABELS] += np.exp(alpha[t - 1][:, :, None] + trans[:LABELS] + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(0)
-        at = np.arange(rows)
-        for t in range(steps):
-            de[t, at, y[t]] -= 1
+        gt[:LABELS] = go * (alpha[:-1].reshape(-1, LABELS).T @ (own[1:] * beta[1:] / scale[1:]).reshape(-1, LABELS))
+        de[np.arange(steps)[:, None], np.arange(rows), y] -= 1
         np.subtract.at(gt, (np.concatenate([np.full((1, rows), LABELS), y[:-1]]), y), 1)
-        n = np.float32(1 / (steps * rows))
-        de, g = de * n, {"t": gt * n}
-        g["o"], g["c"] = np.einsum("trh,trl->hl", h, de), de.sum((0, 1))
+        n = 1 / (steps * rows)
+        de, g = (de * n).astype(h.dtype), {"t": (gt * n).astype(h.dtype)}
+        g["o"], g["c"] = h.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, LABELS), de.sum((0, 1))
         dh, g["e"] = de @ p["o"].T, np.zeros_like(p["e"])
-        for d, past, own, xs in (("f", pf, dh[:, :, :HIDDEN], x), ("b", pb, dh[::-1, :, HIDDEN:], x[::-1])):
-            into, next_h, next_c = np.zeros((PAD + 1, 4 * HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32)
-            gu = np.zeros_like(p[f"u{d}"])
+        for d, states, past, own, xs in (("f", hf, pf, dh[:, :, :HIDDEN], x), ("b", hb, pb, dh[::-1, :, HIDDEN:], x[::-1])):
+            i, f, o = (past[0][:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            m, cell, k = past[1:]
+            was, old = (np.concatenate([np.zeros_like(v[:1]), v[:-1]]) for v in (states, cell))
+            by_cell, by_state = (m * i * (1 - i), old * f * (1 - f), i * (1 - m * m)), k * o * (1 - o)
+            through, dz = o * (1 - k * k), np.empty((*x.shape, 4 * HIDDEN), h.dtype)
+            next_h = next_c = np.zeros((rows, HIDDEN), h.dtype)
             for t in range(steps - 1, -1, -1):
-                i, f, o, m, old, k, was = past[t]
                 a = own[t] + next_h
-                c = next_c + a * o * (1 - k * k)
-                dz = np.concatenate([c * m * i * (1 - i), c * old * f * (1 - f), a * k * o * (1 - o), c * i * (1 - m * m)], 1)
-                np.add.at(into, xs[t], dz)
-                gu += was.T @ dz
-                next_h, next_c = dz @ p[f"u{d}"].T, c * f
-            g[f"u{d}"], g[f"w{d}"], g[f"b{d}"] = gu, p["e"].T @ into, into.sum(0)
+                c = next_c + a * through[t]
+                for at, part in ((0, c * by_cell[0][t]), (1, c * by_cell[1][t]), (2, a * by_state[t]), (3, c * by_cell[2][t])):
+                    dz[t, :, at * HIDDEN : (at + 1) * HIDDEN] = part
+                next_h, next_c = dz[t] @ p[f"u{d}"].T, c * f[t]
+            flat, which = dz.reshape(-1, 4 * HIDDEN), np.zeros((PAD + 1, steps * rows), h.dtype)
+            which[xs.ravel(), np.arange(steps * rows)] = 1
+            into = which @ flat
+            g[f"u{d}"], g[f"w{d}"], g[f"b{d}"] = was.reshape(-1, HIDDEN).T @ flat, p["e"].T @ into, into.sum(0)
             g["e"] += into @ p[f"w{d}"].T
         return g
 
