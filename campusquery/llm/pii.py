@@ -244,14 +244,18 @@ def labelled_texts(n: int, seed: int = 3) -> list[tuple[str, list[tuple[str, int
     letters = lambda k: "".join(chr(97 + c) for c in r.integers(0, 26, k))
     hexes = lambda k: "".join("0123456789abcdef"[c] for c in r.integers(0, 16, k))
 
+    def accented(w: str) -> str:
+        """Now and then with other letters than ASCII has."""
+        return "".join(one(*"áéíóúüñçöä") if c.isalpha() and r.random() < 0.15 else c for c in w) if r.random() < 0.2 else w
+
     def word() -> str:
-        w = letters(r.integers(2, 10))
+        w = accented(letters(r.integers(2, 10)))
         return w.capitalize() if r.random() < 0.12 else w.upper() if r.random() < 0.04 else w
 
     def email() -> str:
         name = one(letters(5), f"{letters(4)}.{digits(2)}", f"{letters(5)}_{letters(4)}", f"{letters(1)}.{letters(6)}", f"{letters(6)}{digits(3)}")
-        host = f"{one(letters(6), 'mail' + digits(1), letters(4) + '-' + letters(3))}.{one('com', 'org', 'net', 'example.com', 'co.uk', 'de')}"
-        return f"{name}@{host}"
+        host = f"{one(letters(6), 'mail' + digits(1), letters(4) + '-' + letters(3), letters(r.integers(4, 9)) + '-' + letters(r.integers(5, 15)))}.{one('com', 'org', 'net', 'example.com', 'co.uk', 'de')}"
+        return accented(f"{name}@{host}")
 
     def card() -> str:
         body = one("4", "5", "37", "6011")
