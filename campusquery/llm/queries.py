@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op6_schema_chat": chat.SQL_OP6,
     "op7_histogram_topk": topk.SQL_OP7,
     "op9_bayes_minhash": neardup.SQL_OP9,
+    "op10_rendezvous_shards": sharding.SQL_OP10,
 }
