@@ -32,6 +32,11 @@ def newest(log: DataFrame, order: list[str], n: int) -> DataFrame:
     return log.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
+def recent(log: DataFrame, key: str, limit: int, most: int) -> DataFrame:
+    """The ``limit`` newest rows of a list that the interface gives out, ``most`` at most, by their number."""
+    return newest(log, [key], min(most, max(1, limit)))
+
+
 def top_entries(counts: DataFrame, key: str, n: int = KEPT["views"]) -> DataFrame:
     """The entries of a map of counts (key, n) that are kept: the highest, the key decides ties."""
     return counts.orderBy(F.desc("n"), key).limit(n)

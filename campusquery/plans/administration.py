@@ -515,6 +515,14 @@ def latency_summary(spark, d):
     return out.withColumn("recent", F.array_join(F.transform("recent", lambda x: x.cast("string")), "|"))
 
 
+@query("(SELECT 'reports' AS list, event_id FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 10) UNION ALL (SELECT 'errors', event_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 200)", views=False)
+def recent_lists(spark, d):
+    """The newest ten reports, and as many of the newest errors as may be asked for."""
+    e = read(spark, d, "events")
+    reports, errors = metrics.recent(e.filter("event_type = 'signup'"), "event_id", 10, 100), metrics.recent(e.filter("event_type = 'error'"), "event_id", 1000, 200)
+    return reports.select(F.lit("reports").alias("list"), "event_id").union(errors.select(F.lit("errors").alias("list"), "event_id"))
+
+
 @query("""SELECT 'searches' AS log, event_id AS id FROM (SELECT * FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 200) UNION ALL SELECT 'recent', event_id FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50)
 UNION ALL SELECT 'latencies', event_id FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) UNION ALL SELECT 'views', o_custkey FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 500)""", views=False)
 def retention(spark, d):
