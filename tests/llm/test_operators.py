@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
+from functools import cache
 from io import BytesIO
 
 import numpy as np
@@ -335,12 +336,15 @@ def test_toxicity_held_out(spark):
     assert np.allclose(model.score([x[1] for x in rows[:50]] + ["", "ünï" * 400]), [naive_score(model, t) for t in [x[1] for x in rows[:50]] + ["", "ünï" * 400]])
 
 
+@cache
+def bucket_of(gram):
+    return int(toxicity.buckets(np.array([ord(c) for c in gram], np.uint32), len(gram))[0])
+
+
 def naive_score(model, text):
     """Logistic of the bias and the weights of the distinct n-grams, each hashed on its own."""
-    framed, seen = f" {text.lower()} ", set()
-    for n in toxicity.ORDERS:
-        for k in range(len(framed) - n + 1):
-            seen.add(int(toxicity.buckets(np.array([ord(c) for c in framed[k : k + n]], np.uint32), n)[0]))
+    framed = f" {text.lower()} "
+    seen = {bucket_of(framed[k : k + n]) for n in toxicity.ORDERS for k in range(len(framed) - n + 1)}
     return 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[b]) for b in seen))))
 
 
