@@ -65,7 +65,8 @@ def degree_price(degrees: DataFrame, region_col: str, kind: str, level: str, tit
     in it. Not public, or unknown: no prices, and a text that says why.
     """
     spark, public = degrees.sparkSession, F.lower(blank(F.col(kind))).rlike("p[úu]blica")
-    name = region(F.col(region_col))
+    # A column of its own: the region's rule is long, and what follows names it more than once.
+    degrees, kept, name = degrees.withColumn("_name", region(F.col(region_col))), degrees.columns, F.col("_name")
     table = F.broadcast(tariff_table(spark))  # 72 rows
     names = F.array(*[F.lit(x) for x in fixed.TARIFFS])
     low = F.lower(name)
@@ -79,7 +80,7 @@ def degree_price(degrees: DataFrame, region_col: str, kind: str, level: str, tit
         .otherwise(F.concat(F.lit(fixed.PRICE_SOURCE["official"]), F.col("decree")))
     )
     out = out.withColumns({"precio_anual": annual, "fuente_precio": source} | {f"precio_{k}": F.col(f"p{k}") for k in range(1, 5)})
-    return out.select(*degrees.columns, *[f"precio_{k}" for k in range(1, 5)], "precio_anual", "fuente_precio")
+    return out.select(*kept, *[f"precio_{k}" for k in range(1, 5)], "precio_anual", "fuente_precio")
 
 
 def tier_price(tier: int | Column, p1: Column, p2: Column, p3: Column, p4: Column) -> Column:

@@ -32,9 +32,9 @@ def newest(log: DataFrame, order: list[str], n: int) -> DataFrame:
     return log.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
-def recent(log: DataFrame, key: str, limit: int, most: int) -> DataFrame:
-    """The ``limit`` newest rows of a list that the interface gives out, ``most`` at most, by their number."""
-    return newest(log, [key], min(most, max(1, limit)))
+def recent(log: DataFrame, key: str, limit: int, most: int, skip: int = 0) -> DataFrame:
+    """The ``limit`` newest rows, by their number, of a list that the interface gives out, ``most`` at most, after ``skip`` others."""
+    return log.orderBy(F.desc(key)).offset(max(0, skip)).limit(min(most, max(1, limit)))
 
 
 def top_entries(counts: DataFrame, key: str, n: int = KEPT["views"]) -> DataFrame:

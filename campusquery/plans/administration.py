@@ -515,11 +515,11 @@ def latency_summary(spark, d):
     return out.withColumn("recent", F.array_join(F.transform("recent", lambda x: x.cast("string")), "|"))
 
 
-@query("(SELECT 'reports' AS list, event_id FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 10) UNION ALL (SELECT 'errors', event_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 200)", views=False)
+@query("(SELECT 'reports' AS list, event_id FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 10) UNION ALL (SELECT 'errors', event_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 200 OFFSET 5)", views=False)
 def recent_lists(spark, d):
     """The newest ten reports, and as many of the newest errors as may be asked for."""
     e = read(spark, d, "events")
-    reports, errors = metrics.recent(e.filter("event_type = 'signup'"), "event_id", 10, 100), metrics.recent(e.filter("event_type = 'error'"), "event_id", 1000, 200)
+    reports, errors = metrics.recent(e.filter("event_type = 'signup'"), "event_id", 10, 100), metrics.recent(e.filter("event_type = 'error'"), "event_id", 1000, 200, 5)
     return reports.select(F.lit("reports").alias("list"), "event_id").union(errors.select(F.lit("errors").alias("list"), "event_id"))
 
 

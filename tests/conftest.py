@@ -1,6 +1,8 @@
 import os
 import sys
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # many small matrices: threads of a library only stand in each other's way
+
 import pytest
 from pyspark.sql import SparkSession
 
